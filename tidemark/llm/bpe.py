@@ -27,11 +27,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts
+from .common import map_rows, once, texts, written
 
 NEVER = 1 << 60
 #: Words in the compiled lexicon. The lexicon's size, and what is collected and broadcast for it, is bounded by this.
-LEXICON_WORDS = 131_072
+LEXICON_WORDS = 262_144
+#: Words rarer than this are merged, not compiled.
+LEAST_COUNT = 3
 #: Words longer than this are merged, not compiled.
 LEXICON_BYTES = 64
 #: A worker forgets its memo of chunks at this many entries.
@@ -344,11 +346,22 @@ class _CountWords:
 
 
 def frequent_words(docs: DataFrame, file_bytes: bytes, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words over all documents, ties by the word; most bounds what the driver gets."""
-    sent = docs.sparkSession.sparkContext.broadcast(file_bytes)
+    """Words of all documents more frequent than a cutoff count, the lowest that leaves at most `most` of them.
+
+    The cutoff comes from how many words have each count, so the driver gets these counts and at most `most` words.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(file_bytes)
     counts = map_rows(docs.select(F.col("text").cast("string").alias("text")), "word string, n long", lambda: _CountWords(sent.value))
-    total = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= LEXICON_BYTES)
-    return [r.word for r in total.orderBy(F.desc("n"), "word").limit(most).collect()]
+    total = counts.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_COUNT) & (F.octet_length("word") <= LEXICON_BYTES))
+    total = written(spark, total, "words")
+    cutoff, held = LEAST_COUNT - 1, 0
+    for n, words in total.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        held += words
+        if held > most:
+            cutoff = n
+            break
+    return [r.word for r in total.where(F.col("n") > cutoff).select("word").collect()]
 
 
 def build(docs: DataFrame, vocab_path: str, most: int = LEXICON_WORDS) -> tuple[bytes, bytes]:
@@ -377,8 +390,6 @@ OUTPUTS = {
 
 def encode_decode(docs: DataFrame, vocab_path: str, outputs: Iterable[str] = ("ids", "decoded"), most: int = LEXICON_WORDS) -> DataFrame:
     """doc_id and the named outputs of each document; decoded comes from the ids alone."""
-    from .common import once
-
     sc, outputs = docs.sparkSession.sparkContext, list(outputs)
     file_bytes, lexicon = build(docs, vocab_path, most)
     sent, name = sc.broadcast((file_bytes, lexicon)), uuid.uuid4().hex
