@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_bpe_round_trip
 from .chat import SQL_OP3, op3_chat_format
+from .licenses import op7_license_scan
 from .mixing import op6_mix_sources
 from .near_dedup import op10_near_dedup
 from .quality import op8_quality_lines
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_mix_sources": op6_mix_sources,
+    "op7_license_scan": op7_license_scan,
     "op8_quality_lines": op8_quality_lines,
     "op9_token_counts": op9_token_counts,
     "op10_near_dedup": op10_near_dedup,

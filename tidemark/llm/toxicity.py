@@ -244,3 +244,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(docs, model)
     held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic_passages")
+
+
+def below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below limit. Only the text goes through Python."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    def probabilities(batches):
+        import pandas as pd
+
+        m = sent.value
+        for batch in batches:
+            yield pd.Series([m.probability(m.evidence(t)) for t in batch])
+
+    scored = F.pandas_udf(probabilities, "double", F.PandasUDFType.SCALAR_ITER)
+    return docs.where(scored(F.col("text").cast("string")) < limit)
