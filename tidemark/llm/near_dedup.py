@@ -5,12 +5,12 @@ share a band are candidates. Candidates are compared by batches of their signatu
 posterior probability that its similarity reaches the threshold falls below the chosen miss probability. Survivors are
 verified on their full shingle sets. No bucket emits all its pairs:
 
-1. each class against its bucket's smallest id;
-2. each class against its best-looking partners in other components of the bucket;
-3. every remaining pair of a bucket whose components still differ and that the posterior does not prune.
+1. each class against its bucket's smallest id, which joins most of a group of copies at one pair a member;
+2. in buckets whose members are still of different components, every pair of different components that the posterior
+   does not prune, verified where the bucket's texts are: only pairs that join two components leave the task, and
+   members that a task has joined are not compared again. A pair is looked at in the first band that it shares.
 
-After each round the components are joined, so a large group of copies costs about one pair per member, while no link
-between different components goes untested. Large buckets are worked on in blocks of members.
+No link between different components goes untested. Large buckets are worked on in pairs of blocks of members.
 
 Defined results: null or empty texts, or texts without words, have no shingles and are linked with nothing; fewer words
 than a shingle make one shingle; rows with the same id are one document when their texts are equal and are linked by id
@@ -37,7 +37,7 @@ HASHES, ROWS, BATCH = 96, 4, 16
 #: A pair is pruned when its posterior chance to reach the threshold is below this.
 MISS = 1e-7
 #: Members of a bucket worked on at a time.
-BLOCK = 1024
+BLOCK = 512
 
 _seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = _seeds[:HASHES] | np.uint64(1), _seeds[HASHES:]
@@ -105,10 +105,10 @@ class _Pairs:
 
 
 class _Buckets:
-    """Rows (key, i, j, block, id, comp, n, sig) sorted by key, i, j: gives candidate pairs between components of a bucket's blocks i and j."""
+    """Rows (key, i, j, block, band, id, comp, n, sig, bands, text) sorted by key, i, j: gives links that join components of a bucket's blocks i and j."""
 
-    def __init__(self, percent: int, best: int | None, schema):
-        self.percent, self.best, self.least, self.schema = percent, best, least_matches(percent / 100), schema
+    def __init__(self, words: int, percent: int, schema):
+        self.words, self.percent, self.least, self.schema = words, percent, least_matches(percent / 100), schema
 
     def groups(self, batches) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
         key, held = None, []
@@ -128,73 +128,61 @@ class _Buckets:
             yield key, held
 
     def __call__(self, batches):
+        self.sets: dict[int, np.ndarray] = {}
+
         def rows():
-            small, held = [], 0
-            for key, parts in self.groups(batches):
-                cols = [np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(3, 7)]
-                sig = np.frombuffer(b"".join(x for p in parts for x in p.column(7).to_pylist()), np.uint16).reshape(-1, HASHES)
-                if len(sig) > 40:
-                    yield from self.large(key, *cols, sig)
-                    continue
-                small.append((key, *cols, sig))
-                held += len(sig)
-                if held > 20_000:
-                    yield from self.many(small)
-                    small, held = [], 0
-            if small:
-                yield from self.many(small)
+            for (_, i, j), parts in self.groups(batches):
+                block, band, ids, comp, n = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(3, 8))
+                sig = np.frombuffer(b"".join(x for p in parts for x in p.column(8).to_pylist()), np.uint16).reshape(-1, HASHES)
+                bands = np.concatenate([p.column(9).flatten().to_numpy() for p in parts]).reshape(len(ids), -1)
+                texts = [x for p in parts for x in p.column(10)]
+                yield from self.bucket(i != j, block, int(band[0]), ids, comp, n, sig, bands, texts)
 
         yield from batched(rows(), self.schema)
 
-    def allowed(self, key, block, comp, n, x, y):
-        """Pairs (x, y) of different components, near enough in size, and of this task's blocks."""
-        _, i, j = key
-        ok = comp[x] != comp[y]
-        ok &= 100 * np.minimum(n[x], n[y]) >= self.percent * np.maximum(n[x], n[y])
-        if i != j:
-            ok &= block[x] != block[y]
-        return ok
-
-    def many(self, groups):
-        """Small buckets, all their pairs compared in one vectorised pass."""
-        xs, ys, at = [], [], 0
-        for key, block, ids, comp, n, sig in groups:
-            x, y = np.triu_indices(len(ids), 1)
-            ok = self.allowed(key, block, comp, n, x, y)
-            xs.append(x[ok] + at)
-            ys.append(y[ok] + at)
-            at += len(ids)
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        ids, sig = np.concatenate([g[2] for g in groups]), np.concatenate([g[5] for g in groups])
-        group = np.repeat(np.arange(len(groups)), [len(g[2]) for g in groups])
-        yield from self.emit(ids, group, x, y, sig)
-
-    def large(self, key, block, ids, comp, n, sig):
-        for lo in range(0, len(ids), 64):
-            x, y = np.meshgrid(np.arange(lo, min(lo + 64, len(ids))), np.arange(len(ids)), indexing="ij")
-            x, y = x.ravel(), y.ravel()
-            x, y = x[x < y], y[x < y]
-            ok = self.allowed(key, block, comp, n, x, y)
-            yield from self.emit(ids, np.zeros(len(ids), np.int64), x[ok], y[ok], sig)
-
-    def emit(self, ids, group, x, y, sig):
-        step = 1 << 18
-        found = [(lo, *survivors(sig[x[lo : lo + step]], sig[y[lo : lo + step]], self.least)) for lo in range(0, len(x), step)]
-        if not found:
-            return
-        live, matches = np.concatenate([lo + k for lo, k, _ in found]), np.concatenate([m for _, _, m in found])
-        x, y = x[live], y[live]
-        if self.best is not None and len(x):
-            keep = np.zeros(len(x), bool)
-            for end in (x, y):  # the best partners of each member
-                order = np.lexsort((-matches, end))
-                e = end[order]
-                first = np.r_[True, e[1:] != e[:-1]]
-                rank = np.arange(len(e)) - np.maximum.accumulate(np.where(first, np.arange(len(e)), 0))
-                keep[order[rank < self.best]] = True
-            x, y = x[keep], y[keep]
-        a, b = ids[x], ids[y]
-        yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
+    def shingles_of(self, k: int, text) -> np.ndarray:
+        found = self.sets.get(k)
+        if found is None:
+            if len(self.sets) >= 4 * BLOCK:
+                self.sets.clear()
+            found = self.sets[k] = shingles(text.as_py(), self.words)
+        return found
+
+    def bucket(self, across, block, band, ids, comp, n, sig, bands, texts):
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for a in range(len(ids)):
+            y = np.arange(a + 1, len(ids))
+            ok = (comp[y] != comp[a]) & (100 * np.minimum(n[y], n[a]) >= self.percent * np.maximum(n[y], n[a]))
+            if across:
+                ok &= block[y] != block[a]
+            y = y[ok]
+            if up and len(y):
+                own = find(int(comp[a]))
+                y = y[[find(c) != own for c in comp[y].tolist()]]
+            if len(y) and band:
+                y = y[~(bands[y, :band] == bands[a, :band]).any(axis=1)]
+            if not len(y):
+                continue
+            live, _ = survivors(np.broadcast_to(sig[a], (len(y), HASHES)), sig[y], self.least)
+            if not len(live):
+                continue
+            y, x = y[live], self.shingles_of(int(ids[a]), texts[a])
+            others = [self.shingles_of(int(ids[k]), texts[k]) for k in y.tolist()]
+            flat, sizes = np.concatenate(others), np.array([len(o) for o in others])
+            at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+            both = np.add.reduceat((x[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for k in y[100 * both >= self.percent * (sizes + len(x) - both)].tolist():
+                u, v = find(int(comp[a])), find(int(comp[k]))
+                if u != v:
+                    up[max(u, v)] = min(u, v)
+                    yield (min(int(ids[a]), int(ids[k])), max(int(ids[a]), int(ids[k])))
 
 
 def _verify(words: int, percent: int):
@@ -246,7 +234,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = full.join(member.where("doc_id = id").select("doc_id").distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = written(spark, reps, "classes")
     rep_text = docs.join(member.where("doc_id = id").select("doc_id").distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
-    rows = reps.select("id", F.explode("bands").alias("key"))
+    rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = written(spark, rows.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1"), "buckets")
     rows = written(spark, rows.join(buckets, "key"), "rows")
     sig = reps.select("id", "sig", "n")
@@ -266,20 +254,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # an id with several texts joins their classes
     several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
     links = links.unionByName(several.join(member, "doc_id").where("id <> a").select("a", F.col("id").alias("b")))
-    tested = None
-    for best in (2, None):
-        comp = components(links)
-        now = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        now = now.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        now = now.join(sig, "id").select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))).alias("at"), "block", "id", "comp", "n", "sig")
-        now = now.select("key", "at.i", "at.j", "block", "id", "comp", "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = now.mapInArrow(_Buckets(percent, best, schema_of("a long, b long")), "a long, b long").distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        new = verified(found, f"round-{best}")
-        tested = found if tested is None else tested
-        links = links.unionByName(new)
+    # 2: what the buckets still hold of different components
+    comp = components(links)
+    now = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    now = now.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    now = now.join(reps, "id").join(rep_text, "id")
+    now = now.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))).alias("at"))
+    now = now.select("key", "at.i", "at.j", "block", "band", "id", "comp", "n", "sig", "bands", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    found = now.mapInArrow(_Buckets(words, percent, schema_of("a long, b long")), "a long, b long")
+    links = links.unionByName(written(spark, found, "bucket-links"))
     comp = components(links)
     joined = member.join(comp, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
     # a component's id is its smallest document: the smallest id of any class in it
