@@ -32,8 +32,8 @@ from .common import map_rows, ship, texts, written
 PREFIXES = (4, 5, 6)
 #: Strength of the Dirichlet prior (pseudo-documents, dealt to the labels by their shares), least z score and least log odds of a kept feature, most features kept, least documents of a feature.
 PRIOR, LEAST_Z, LEAST_ODDS, MODEL_FEATURES, LEAST_DOCUMENTS = 2.0, 4.0, 1.0, 20_000, 5
-#: Rows of labelled scores that the calibration takes, by a hash of the id: a documented bound for fitting.
-CALIBRATION_ROWS = 20_000
+#: Labelled rows that the model is fitted on, about, chosen by a hash of the id: a documented bound for fitting.
+TRAINING_ROWS = 40_000
 #: A segment counts when fewer than this many such are expected in a clean text of the same length.
 EXPECTED = 1.0
 
@@ -145,17 +145,20 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model
     spark = docs.sparkSession
     ship(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
-    rows = texts(docs).join(known, "doc_id")
+    labelled = known.agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()
+    # by a hash of the id, so that what is broadcast is about TRAINING_ROWS pairs at most, and no text is shuffled
+    part = min(1.0, TRAINING_ROWS / max(labelled.n, 1))
+    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(part * (1 << 30)))
+    rows = written(spark, texts(docs).join(F.broadcast(sample), "doc_id"), "labelled")
     # equal texts teach once a label
-    once = rows.groupBy(F.xxhash64("text").alias("same"), "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label")
-    rows = texts(docs).join(once, "doc_id")
+    rows = written(spark, rows.groupBy(F.xxhash64("text").alias("same"), "label").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text")), "training")
     counts = map_rows(rows.select("text", "label"), "word string, label int, n long", _CountLabelled)
     by_word = counts.groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("word").alias("feature")), *(F.struct(F.lit(n).alias("kind"), F.when(F.length("word") > n, F.substring("word", 1, n)).alias("feature")) for n in PREFIXES))
     features = by_word.select("n1", "n0", F.explode(kinds).alias("x")).select("x.*", "n1", "n0").where("feature is not null").groupBy("kind", "feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     features = written(spark, features, "features")
     total = {r.kind: (r.n1, r.n0) for r in features.groupBy("kind").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).collect()}
-    share = known.agg(F.avg("label")).first()[0] or 0.0
+    share = labelled.share or 0.0
     if not total or 0 in total[0] or share in (0.0, 1.0):
         return Model({}, {}, -1.0, 1.0, 1.0, (math.log(share / (1 - share)) if 0 < share < 1 else 40.0 * (2 * share - 1), 0.0))
     n1, n0 = map(float, total[0])
@@ -170,9 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model
     prefixes = {r.feature: r.delta for r in kept if r.kind and r.delta > 0}
     rest = min(-0.02, math.log((n1 - sum(r.n1 for r in kept if r.kind == 0) + 1) / n1) - math.log((n0 - sum(r.n0 for r in kept if r.kind == 0) + 1) / n0))
     model = Model(words, prefixes, rest, 1.0, 1.0, (0.0, 1.0))
-    # the score distribution of clean training words gives the slope; then the calibration on a bounded sample of rows
-    sample = once.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(CALIBRATION_ROWS)
-    chosen = texts(docs).join(sample, "doc_id").select("text", "label")
+    # the score distribution of clean training words gives the slope; then the calibration
+    chosen = rows.select("text", "label")
     sent = spark.sparkContext.broadcast(model)
     spread = map_rows(chosen.where("label = 0").select("text"), "value double, n long", lambda: _Spread(sent.value)).groupBy("value").agg(F.sum("n").alias("n")).collect()
     values, weights = np.array([r.value for r in spread]), np.array([float(r.n) for r in spread])
