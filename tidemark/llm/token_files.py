@@ -1,7 +1,8 @@
 """Token ids in length-delimited binary record files, with a separate offset index for shuffled reads.
 
-A data file is a run of records: 8 bytes length (little-endian), 4 bytes masked CRC-32C of the length, the ids as
-little-endian unsigned 32-bit integers, 4 bytes masked CRC-32C of them. Its index file holds, for each record, 32
+A data file is a run of records: 8 bytes length (little-endian), 4 bytes masked CRC-32C of the length, the serialized
+sequence, 4 bytes masked CRC-32C of it. A sequence is one byte, the width of an id (2 where every id is below 65,536,
+else 4), and the ids as little-endian unsigned integers of that width. Its index file holds, for each record, 32
 bytes: document id, first byte of the record, ids of the file before it, number of ids (signed 64-bit). Files hold
 ascending ranges of document ids, and a manifest (Parquet) has a row for each file, so that a record is read by one
 seek and a reader can take records in any order.
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -85,21 +85,31 @@ def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(ids: bytes) -> bytes:
-    head = struct.pack("<Q", len(ids))
-    return b"".join((head, struct.pack("<I", masked(crc32c(head))), ids, struct.pack("<I", masked(crc32c(ids)))))
+def serialized(ids: list[int]) -> bytes:
+    width, code = (2, "<u2") if max(ids, default=0) < 1 << 16 else (4, "<u4")
+    return bytes([width]) + np.array(ids, code).tobytes()
+
+
+def restored(data: bytes) -> bytes:
+    """A serialized sequence's ids as little-endian unsigned 32-bit integers."""
+    return np.frombuffer(data, {2: "<u2", 4: "<u4"}[data[0]], offset=1).astype("<u4").tobytes()
+
+
+def frame(data: bytes) -> bytes:
+    head = struct.pack("<Q", len(data))
+    return b"".join((head, struct.pack("<I", masked(crc32c(head))), data, struct.pack("<I", masked(crc32c(data)))))
 
 
 def unframe(read) -> bytes:
-    """One record from read(n); both checksums are checked."""
+    """One record's serialized sequence from read(n); both checksums are checked."""
     head = read(12)
     n, check = struct.unpack("<QI", head)
     if masked(crc32c(head[:8])) != check:
         raise ValueError("a record's length does not match its checksum")
-    ids = read(n)
-    if len(ids) != n or masked(crc32c(ids)) != struct.unpack("<I", read(4))[0]:
+    data = read(n)
+    if len(data) != n or masked(crc32c(data)) != struct.unpack("<I", read(4))[0]:
         raise ValueError("a record's ids do not match their checksum")
-    return ids
+    return data
 
 
 def file_system(path: str):
@@ -132,12 +142,10 @@ class _Write:
                     if out is None:
                         name = f"{folder}/part-{part:06d}-{k:04d}-{uuid.uuid4().hex}"
                         out, index, first, bytes_, tokens = fs.open_output_stream(f"{name}.tmp"), bytearray(), doc_id, 0, 0
-                    raw = array("I", ids)
-                    raw.append(tail)
-                    record = frame(raw.tobytes())
-                    index += INDEX.pack(NULL_ID if doc_id is None else doc_id, bytes_, tokens, len(raw))
+                    record = frame(serialized([*ids, tail]))
+                    index += INDEX.pack(NULL_ID if doc_id is None else doc_id, bytes_, tokens, len(ids) + 1)
                     out.write(record)
-                    bytes_, tokens = bytes_ + len(record), tokens + len(raw)
+                    bytes_, tokens = bytes_ + len(record), tokens + len(ids) + 1
                     if bytes_ >= FILE_BYTES:
                         yield self.close(fs, out, name, index, part, k, first, tokens)
                         out, k = None, k + 1
@@ -184,7 +192,7 @@ class _Read:
                     index = f.read()
                 with fs.open_input_stream(f"{folder}/{name}.rec", buffer_size=READ) as f:
                     for doc_id, at, before, n in INDEX.iter_unpack(index):
-                        ids = unframe(f.read)
+                        ids = restored(unframe(f.read))
                         if len(ids) != 4 * n:
                             raise ValueError("the index does not match its records")
                         yield (None if doc_id == NULL_ID else doc_id, base + before, n, ids)
@@ -198,7 +206,7 @@ def record(folder: str, name: str, k: int) -> tuple[int | None, bytes]:
         doc_id, at, _, _ = INDEX.unpack(f.read(INDEX.size))
     with fs.open_input_file(f"{path}/{name}.rec") as f:
         f.seek(at)
-        return None if doc_id == NULL_ID else doc_id, unframe(f.read)
+        return None if doc_id == NULL_ID else doc_id, restored(unframe(f.read))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
