@@ -60,7 +60,8 @@ class Sql:
         return f"ln(CASE WHEN ({x}) > 0 THEN {x} END)"
 
     def round(self, x: str, digits: int = 6) -> str:
-        return f"round(CAST({x} AS DOUBLE), {digits}) + 0e0"
+        """Rounded to digits; values of a million or more (a small number in a denominator) to whole millions."""
+        return f"CASE WHEN abs({x}) >= 1e6 THEN round(CAST({x} AS DOUBLE) / 1e6, 0) * 1e6 ELSE round(CAST({x} AS DOUBLE), {digits}) + 0e0 END"
 
     # lists: their elements are never null, since a list is used only where its window is full
     def listed(self, x: str, n: int, lag: int = 0) -> str:

@@ -73,5 +73,6 @@ def capped(signals: DataFrame, slots: int) -> DataFrame:
                 heapq.heappush(open_, stop)
         return pdf.assign(admitted=took)
 
-    s = signals.select("signal_id", "start", "stop")
-    return s.groupBy(F.lit(0)).applyInPandas(f, "signal_id long, start timestamp, stop timestamp, admitted boolean")
+    s = signals.select(F.lit(0).alias("all"), "signal_id", "start", "stop")
+    schema = "signal_id long, start timestamp, stop timestamp, admitted boolean"
+    return s.groupBy("all").applyInPandas(lambda pdf: f(pdf.drop(columns="all")), schema)
