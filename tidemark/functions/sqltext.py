@@ -56,6 +56,13 @@ class Sql:
     def finite(self, x: str) -> str:
         return f"nullif(nullif(nullif({x}, double('NaN')), double('Infinity')), double('-Infinity'))" if self.spark else f"nullif(nullif(nullif({x}, 'NaN'::DOUBLE), 'Infinity'::DOUBLE), '-Infinity'::DOUBLE)"
 
+    def low(self, x: str, bound: str) -> str:
+        """x, or bound where x is below it; a missing x stays missing (greatest() would skip it)."""
+        return f"(CASE WHEN ({x}) < {bound} THEN {bound} ELSE ({x}) END)"
+
+    def high(self, x: str, bound: str) -> str:
+        return f"(CASE WHEN ({x}) > {bound} THEN {bound} ELSE ({x}) END)"
+
     def ln(self, x: str) -> str:
         return f"ln(CASE WHEN ({x}) > 0 THEN {x} END)"
 

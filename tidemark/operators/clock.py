@@ -66,7 +66,7 @@ class Pack:
         s2 = {"bn": f"CAST(count({both.format('1')}) {w} AS DOUBLE)", "b_m": mom("m_1"), "b_r": mom("r_1"), "b_rm": mom("r_1 * m_1"), "b_mm": mom("m_1 * m_1"), "dollar_pool": f"CASE WHEN count(dv) {w} >= {self.bl} THEN {'percentile' if q.spark else 'quantile_cont'}(dv, 0.5) {w} END"}
         s3 = {"beta": f"CASE WHEN bn >= {self.bl} THEN {q.div('b_rm - b_m * b_r / bn', 'b_mm - b_m * b_m / bn')} END"}
         s4 = {f"e_{k}": f"r_{k} - beta * m_{k}" for k in (1, 2, 3, 5)}
-        s4 |= {"range_1": q.div("span", "c1"), "lv": log1p("volume"), "ldv": log1p("dv"), "ln_": log1p("trade_count"), "lats": log1p("volume / greatest(trade_count, 1e0)"), "ldpt": log1p("dv / greatest(trade_count, 1e0)"), "clv_signed_1m": f"2e0 * (close - low) / (span + {EPS}) - 1e0", "svw": self.so_far("sum", "dv"), "sv": self.so_far("sum", "volume"), "shi": self.so_far("max", "high"), "slo": self.so_far("min", "low"), "sopen": f"first_value(open) OVER (PARTITION BY {IN} ORDER BY minute)"}
+        s4 |= {"range_1": q.div("span", "c1"), "lv": log1p("volume"), "ldv": log1p("dv"), "ln_": log1p("trade_count"), "lats": log1p(f"volume / {q.low('trade_count', '1e0')}"), "ldpt": log1p(f"dv / {q.low('trade_count', '1e0')}"), "clv_signed_1m": f"2e0 * (close - low) / (span + {EPS}) - 1e0", "svw": self.so_far("sum", "dv"), "sv": self.so_far("sum", "volume"), "shi": self.so_far("max", "high"), "slo": self.so_far("min", "low"), "sopen": f"first_value(open) OVER (PARTITION BY {IN} ORDER BY minute)"}
         s5 = {"ae": "abs(e_1)", "sg": "CAST(sign(e_1) AS DOUBLE)", "impact_per_dollar_1m": f"abs(e_1) / (dv / 1e6 + {EPS})", "sd30": strict("stddev_samp", "e_1", self.n30, 1), "ss30": f"sqrt({strict('sum', 'e_1 * e_1', self.n30, 1)})", "mv5": f"sqrt({strict('sum', 'm_1 * m_1', 5)})", "resid_dispersion_1m": f"stddev_samp(e_1) {t}", "svwap": q.div("svw", "sv"), "srange": "shi - slo", "v5": f"sqrt({strict('sum', 'e_1 * e_1', 5)})", "v30": f"sqrt({strict('sum', 'e_1 * e_1', self.n30, 5)})"}
         s6 = {"limp": log1p("impact_per_dollar_1m"), "prevol_ratio_5_30": f"v5 / (v30 * sqrt(5e0 / {self.n30}e0) + {EPS})"}
         tod = ["r_1", "e_1", "e_2", "e_3", "e_5", "range_1", "lv", "ldv", "ln_", "lats", "ldpt", "limp", "ss30", "resid_dispersion_1m", "m_1", "m_2", "mv5", "ae", "prevol_ratio_5_30", "srange"]
@@ -80,7 +80,7 @@ class Pack:
         eff = lambda n: q.div(f"abs({strict('sum', 'e_1', n)})", strict("sum", "ae", n))
         mid = lambda x: f"CASE WHEN {x} IS NOT NULL THEN (CAST(rank() OVER (PARTITION BY {NOW}, {x} IS NULL ORDER BY {x}) AS DOUBLE) + (CAST(count(*) OVER (PARTITION BY {NOW}, {x} IS NULL, {x}) AS DOUBLE) - 1e0) / 2e0 - 0.5e0) / CAST(count({x}) {t} AS DOUBLE) END"
         s10 = {
-            "ret_tod_tail_1m": self.tail("r_1"), **{f"resid_tod_tail_{k}m": self.tail(f"e_{k}") for k in (1, 2, 3, 5)}, "ret_tod_robz_1m": z["r_1"], "resid_tod_robz_1m": z["e_1"], "resid_prevol_norm_1m": f"e_1 / (sd30 + {EPS})", "resid_prevol_norm_2m": f"e_2 / (sd30 * sqrt(2e0) + {EPS})", "shock_accel_1m": f"e_1 - {lag('e_1')}", "shock_excess_1pct": f"sg * greatest(ae - q99, 0e0) / (q99 + {EPS})",
+            "ret_tod_tail_1m": self.tail("r_1"), **{f"resid_tod_tail_{k}m": self.tail(f"e_{k}") for k in (1, 2, 3, 5)}, "ret_tod_robz_1m": z["r_1"], "resid_tod_robz_1m": z["e_1"], "resid_prevol_norm_1m": f"e_1 / (sd30 + {EPS})", "resid_prevol_norm_2m": f"e_2 / (sd30 * sqrt(2e0) + {EPS})", "shock_accel_1m": f"e_1 - {lag('e_1')}", "shock_excess_1pct": f"sg * {q.low('ae - q99', '0e0')} / (q99 + {EPS})",
             "idio_share_1m": f"ae / (ae + abs(beta * m_1) + {EPS})", "body_ret_1m": q.div("close", "open") + " - 1e0", "gap_ret_1m": q.div("open", "c1") + " - 1e0", "body_share_1m": f"abs(close - open) / (span + {EPS})", "dir_close_extreme_1m": "sg * clv_signed_1m", "last1_abs_share_3m": share(3), "last1_abs_share_5m": share(5), "path_eff_3m": eff(3), "path_eff_5m": eff(5), "path_eff_10m": eff(10),
             "switch": f"CASE WHEN sg IS NOT NULL AND {lag('sg')} IS NOT NULL THEN CASE WHEN sg <> {lag('sg')} THEN 1e0 ELSE 0e0 END END", "range_tod_tail_1m": self.tail("range_1"), "volume_tod_tail_1m": self.tail("lv"), "dollar_volume_tod_tail_1m": self.tail("ldv"), "trade_count_tod_tail_1m": self.tail("ln_"), "avg_trade_size_tod_tail_1m": self.tail("lats"), "dollar_per_trade_tod_tail_1m": self.tail("ldpt"), "impact_tod_tail_1m": self.tail("limp"),
             "range_per_dollar_1m": f"range_1 / (dv / 1e6 + {EPS})", "effort_result_1m": f"{z['ldv']} - {z['ae']}", "volume_return_mismatch_1m": f"{z['lv']} - {z['ae']}", "trade_intensity_mismatch_1m": f"{z['ln_']} - {z['ae']}", "prevol_tod_tail_30m": self.tail("ss30"), "liquidity_rank_20d": mid("dollar_pool"), "z_dv": z["ldv"], "z_v": z["lv"], "vwap_close_location_1m": f"(close - vwap) / (span + {EPS})", "vwap_bar_location_1m": f"(vwap - low) / (span + {EPS})",
@@ -92,8 +92,8 @@ class Pack:
         shock = lambda f: f"CASE WHEN resid_tod_tail_1m IS NOT NULL THEN CASE WHEN abs(resid_tod_tail_1m) >= {f} THEN 1e0 ELSE 0e0 END END"
         run = self.q.over(None, 0, IN, "minute")
         s11 = {
-            "tail98": shock("0.98e0"), "tail96": shock("0.96e0"), "sign_switch_rate_5m": strict("avg", "switch", 5), "streak_from": f"max(CASE WHEN switch IS NULL OR switch = 1e0 THEN minute END) {run}", "signed_dollar_pressure_1m": "clv_signed_1m * z_dv", "signed_volume_pressure_1m": "clv_signed_1m * z_v", "vwap_pressure_1m": "vwap_close_location_1m * z_dv", "upper_rejection_pressure_1m": f"(high - greatest(open, close)) / (span + {EPS}) * greatest(z_dv, 0e0)", "lower_rejection_pressure_1m": f"(least(open, close) - low) / (span + {EPS}) * greatest(z_dv, 0e0)",
-            "wick_skew_pressure_1m": f"((least(open, close) - low) - (high - greatest(open, close))) / (span + {EPS}) * greatest(z_dv, 0e0)", "absorption_score_1m": "clv_signed_1m * greatest(z_dv - abs(resid_tod_robz_1m), 0e0)", "resid_rank_velocity_1m": f"resid_cs_rank_1m - {lag('resid_cs_rank_1m')}", **{f"tail_breadth_{n}_1m": f"avg(CASE WHEN resid_tod_tail_1m IS NOT NULL THEN CASE WHEN resid_tod_tail_1m {c} THEN 1e0 ELSE 0e0 END END) {t}" for n, c in (("down", "<= -0.98e0"), ("up", ">= 0.98e0"))},
+            "tail98": shock("0.98e0"), "tail96": shock("0.96e0"), "sign_switch_rate_5m": strict("avg", "switch", 5), "streak_from": f"max(CASE WHEN switch IS NULL OR switch = 1e0 THEN minute END) {run}", "signed_dollar_pressure_1m": "clv_signed_1m * z_dv", "signed_volume_pressure_1m": "clv_signed_1m * z_v", "vwap_pressure_1m": "vwap_close_location_1m * z_dv", "upper_rejection_pressure_1m": f"(high - greatest(open, close)) / (span + {EPS}) * {q.low('z_dv', '0e0')}", "lower_rejection_pressure_1m": f"(least(open, close) - low) / (span + {EPS}) * {q.low('z_dv', '0e0')}",
+            "wick_skew_pressure_1m": f"((least(open, close) - low) - (high - greatest(open, close))) / (span + {EPS}) * {q.low('z_dv', '0e0')}", "absorption_score_1m": f"clv_signed_1m * {q.low('z_dv - abs(resid_tod_robz_1m)', '0e0')}", "resid_rank_velocity_1m": f"resid_cs_rank_1m - {lag('resid_cs_rank_1m')}", **{f"tail_breadth_{n}_1m": f"avg(CASE WHEN resid_tod_tail_1m IS NOT NULL THEN CASE WHEN resid_tod_tail_1m {c} THEN 1e0 ELSE 0e0 END END) {t}" for n, c in (("down", "<= -0.98e0"), ("up", ">= 0.98e0"))},
             **{f"k{p}": f"avg(pow(e_1 - xm, {p}e0)) {t}" for p in (2, 3, 4)}, "benchmark_minus_median_1m": "m_1 - median_stock_ret_1m", "breadth_change_1m": f"breadth_positive_1m - {lag('breadth_positive_1m')}", "same_minute_rank_mean20d": self.clock("avg", "resid_cs_rank_1m", self.n20), "dist_orh_5m": q.div("close", "orh") + " - 1e0", "dist_orl_5m": q.div("close", "orl") + " - 1e0",
             "turn": f"CASE WHEN side IS NOT NULL AND side = {lag('side')} THEN 0 ELSE 1 END", "broke": "CASE WHEN high > ph THEN 1e0 WHEN low < pl THEN -1e0 END", "unknown": "CASE WHEN resid_tod_tail_1m IS NULL THEN minute END", "prior_sign": f"sign({lag('resid_tod_tail_1m')})",
         }

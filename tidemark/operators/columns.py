@@ -34,7 +34,7 @@ def mid_rank(value: Column, by: Iterable[str]) -> Column:
 
 
 def rank_bin(rank: Column, bins: int) -> Column:
-    return F.least(F.floor(rank * bins), F.lit(bins - 1)).cast("int")
+    return F.when(rank.isNotNull(), F.least(F.floor(rank * bins), F.lit(bins - 1))).cast("int")
 
 
 def packed(rank: Column) -> Column:

@@ -201,8 +201,8 @@ def fam_volatility(q: Sql, n: int, fast: int, slow: int) -> list[dict[str, str]]
     return [
         {"beta": q.div(q.pair("covar_samp", "r", "m", slow, 1, 5), q.roll("var_samp", "m", slow, 1, 5)), "sd_short": q.roll("stddev_samp", "r", short, least=short), "sd_n": q.roll("stddev_samp", "r", n), "hl2": f"({hl}) * ({hl})", "co2": f"({co}) * ({co})", "rs_": rs, "realized2": q.roll("sum", "r * r", n, least=min(n, 5)), "dn2": q.roll("avg", "down * down", n), "up2": q.roll("avg", "up * up", n)}
         | {f"{c}_{k}": q.roll("stddev_samp", x, w, least=w) for c, x in (("f", "r"), ("fd", "down"), ("fu", "up")) for k, w in (("fast", fast), ("slow", slow))} | {"atr": q.roll("avg", "tr", n)},
-        {"res": "r - beta * m", "close_to_close_vol": "sd_n", "realized_vol": "sqrt(realized2)", "downside_vol": "sqrt(dn2)", "upside_vol": "sqrt(up2)", "down_up_vol_ratio": q.div("sqrt(dn2)", "sqrt(up2)"), "atr_pct": f"atr / (close + {EPS})", "parkinson_vol": f"sqrt(({q.roll('avg', 'hl2', n)}) / (4e0 * ln(2e0)))", "garman_klass_vol": f"sqrt(greatest(0e0, {q.roll('avg', '0.5e0 * hl2 - (2e0 * ln(2e0) - 1e0) * co2', n)}))",
-         "rogers_satchell_vol": f"sqrt(greatest(0e0, {q.roll('avg', 'rs_', n)}))", "vol_of_vol": q.roll("stddev_samp", "sd_short", n), "vols": q.listed("sd_n", n + 1), "vol_acceleration": q.div("f_fast", "f_slow") + " - 1e0", "vol_compression_ratio": q.div("f_fast", "f_slow") + " - 1e0", "downside_vol_acceleration": q.div("fd_fast", "fd_slow") + " - 1e0", "upside_vol_acceleration": q.div("fu_fast", "fu_slow") + " - 1e0"},
+        {"res": "r - beta * m", "close_to_close_vol": "sd_n", "realized_vol": "sqrt(realized2)", "downside_vol": "sqrt(dn2)", "upside_vol": "sqrt(up2)", "down_up_vol_ratio": q.div("sqrt(dn2)", "sqrt(up2)"), "atr_pct": f"atr / (close + {EPS})", "parkinson_vol": f"sqrt(({q.roll('avg', 'hl2', n)}) / (4e0 * ln(2e0)))", "garman_klass_vol": f"sqrt({q.low(q.roll('avg', '0.5e0 * hl2 - (2e0 * ln(2e0) - 1e0) * co2', n), '0e0')})",
+         "rogers_satchell_vol": f"sqrt({q.low(q.roll('avg', 'rs_', n), '0e0')})", "vol_of_vol": q.roll("stddev_samp", "sd_short", n), "vols": q.listed("sd_n", n + 1), "vol_acceleration": q.div("f_fast", "f_slow") + " - 1e0", "vol_compression_ratio": q.div("f_fast", "f_slow") + " - 1e0", "downside_vol_acceleration": q.div("fd_fast", "fd_slow") + " - 1e0", "upside_vol_acceleration": q.div("fu_fast", "fu_slow") + " - 1e0"},
         {"idiosyncratic_vol": q.roll("stddev_samp", "res", n), "vol_percentile_own": q.div(f"{q.size(q.only('vols', 'x <= sd_n'))} - 1e0", f"{n}e0")},
     ]
 
@@ -247,9 +247,9 @@ def fam_liquidity(q: Sql, n: int, fast: int, slow: int) -> list[dict[str, str]]:
     k = 3 - 2 * 2**0.5
     return [
         {"amihud_illiquidity": q.roll("avg", q.div("ar", "dollar"), n), "hn": q.roll("max", "high", n), "ln_": q.roll("min", "low", n), "sd_": q.roll("sum", "dollar", n), "first_": q.lag("close", n), "simple_": simple(q, n), "dp1": q.lag("dp"),
-         "b_": f"pow({q.ln(q.div('high', 'low'))}, 2e0) + pow({q.ln(q.div('prior_high', 'prior_low'))}, 2e0)", "g_": f"pow({q.ln(q.div('greatest(high, prior_high)', 'least(low, prior_low)'))}, 2e0)"},
+         "b_": f"pow({q.ln(q.div('high', 'low'))}, 2e0) + pow({q.ln(q.div('prior_high', 'prior_low'))}, 2e0)", "g_": f"CASE WHEN prior_high IS NOT NULL THEN pow({q.ln(q.div('greatest(high, prior_high)', 'least(low, prior_low)'))}, 2e0) END"},
         {"alpha_": f"(sqrt(2e0 * b_) - sqrt(b_)) / {k!r} - sqrt(g_ / {k!r})", "range_per_dollar_volume": f"({q.div('hn - ln_', 'first_')}) / (sd_ + {EPS})", "abs_return_per_dollar_volume": q.div("abs(simple_)", "sd_"), "cov_": q.pair("covar_samp", "dp", "dp1", n - 1, 0, n - 1)},
-        {"cs_": "CASE WHEN prior_high IS NOT NULL THEN greatest(2e0 * (exp(alpha_) - 1e0) / (1e0 + exp(alpha_)), 0e0) END", "roll_spread_proxy": q.div("2e0 * sqrt(greatest(-cov_, 0e0))", "close")},
+        {"cs_": q.low("2e0 * (exp(alpha_) - 1e0) / (1e0 + exp(alpha_))", "0e0"), "roll_spread_proxy": q.div(f"2e0 * sqrt({q.low('-cov_', '0e0')})", "close")},
         {"corwin_schultz_spread_proxy": q.quantile("cs_", 0.5, n - 1, least=n - 1)},
     ]
 
@@ -265,7 +265,7 @@ def fam_price_volume(q: Sql, n: int, fast: int, slow: int) -> list[dict[str, str
 def fam_session(q: Sql, n: int, fast: int, slow: int) -> list[dict[str, str]]:
     return [
         {"atrp": q.roll("avg", "trp", n), "sdr": q.roll("stddev_samp", "r", n), "positive_overnight_fraction": q.roll("avg", "CASE WHEN overnight IS NOT NULL THEN CASE WHEN overnight > 0 THEN 1e0 ELSE 0e0 END END", n), "positive_regular_fraction": q.roll("avg", "CASE WHEN regular > 0 THEN 1e0 ELSE 0e0 END", n)},
-        {"overnight_return": "overnight", "opening_gap": "overnight", "regular_session_return": "regular", "overnight_minus_regular": "overnight - regular", "overnight_share_total": f"overnight / (abs(overnight) + abs(regular) + {EPS})", "gap_vs_atr": q.div("overnight", "atrp"), "gap_vs_prior_vol": f"overnight / (sdr + {EPS})", "gap_fill_fraction_eod": f"greatest(-2e0, least(2e0, {q.div('open - close', 'open - prior_close')}))", "close_location_daily_range": q.div("close - low", "high - low"), "session_vwap_distance": q.div("close - vwap", "close")},
+        {"overnight_return": "overnight", "opening_gap": "overnight", "regular_session_return": "regular", "overnight_minus_regular": "overnight - regular", "overnight_share_total": f"overnight / (abs(overnight) + abs(regular) + {EPS})", "gap_vs_atr": q.div("overnight", "atrp"), "gap_vs_prior_vol": f"overnight / (sdr + {EPS})", "gap_fill_fraction_eod": q.low(q.high(q.div("open - close", "open - prior_close"), "2e0"), "-2e0"), "close_location_daily_range": q.div("close - low", "high - low"), "session_vwap_distance": q.div("close - vwap", "close")},
     ]
 
 

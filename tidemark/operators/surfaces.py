@@ -37,7 +37,7 @@ def lifted(cells: DataFrame, bins: int, by: Iterable[str] = ()) -> DataFrame:
     var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
     return (
         c.withColumn("mean", mean)
-        .withColumn("sd", F.sqrt(F.greatest(var, F.lit(0.0))))
+        .withColumn("sd", F.sqrt(F.when(var < 0, 0.0).otherwise(var)))
         .withColumn("frequency", F.col("n") / F.sum("n").over(all_))
         .withColumn("lift", mean - ratio(row) - ratio(col) + ratio(all_))
         .withColumn("se", F.col("sd") / F.sqrt(F.col("n").cast("double")))

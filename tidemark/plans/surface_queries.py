@@ -29,7 +29,7 @@ p AS (SELECT *, {pct_rank("a", "decision")} AS ra, {pct_rank("b", "decision")} A
 
 
 def _bin(r: str, k: int) -> str:
-    return f"CAST(least(floor({r} * {k}), {k - 1}) AS INTEGER)"
+    return f"CASE WHEN {r} IS NOT NULL THEN CAST(least(floor({r} * {k}), {k - 1}) AS INTEGER) END"
 
 
 def _cells(k: int, more: str = "") -> str:
@@ -39,7 +39,7 @@ def _cells(k: int, more: str = "") -> str:
 def _lift(k: int, by: str = "") -> str:
     part = f"PARTITION BY {by}" if by else ""
     sub = f"{by}, " if by else ""
-    return f"""l AS (SELECT *, s / n AS mean, sqrt(greatest((q - s * s / n) / nullif(n - 1, 0), 0)) AS sd, n / sum(n) OVER ({part}) AS frequency,
+    return f"""l AS (SELECT *, s / n AS mean, CASE WHEN n > 1 THEN sqrt(greatest((q - s * s / n) / (n - 1), 0)) END AS sd, n / sum(n) OVER ({part}) AS frequency,
       s / n - sum(s) OVER (PARTITION BY {sub}cell // {k}) / sum(n) OVER (PARTITION BY {sub}cell // {k}) - sum(s) OVER (PARTITION BY {sub}cell % {k}) / sum(n) OVER (PARTITION BY {sub}cell % {k}) + sum(s) OVER ({part}) / sum(n) OVER ({part}) AS lift,
       cell // {k} AS a, cell % {k} AS b FROM c)"""
 
@@ -69,12 +69,12 @@ def surface_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fused_cells(p, "pa", "pb", "y").select("resolution", "cell", "n", F.round("s", 3).alias("s"), F.round("q", 1).alias("q"))
 
 
-@register("surface_single", f"WITH {PANEL}, x AS (SELECT 'quantity' AS feature, ra AS r, y FROM p UNION ALL SELECT 'discount', rb, y FROM p), t AS (SELECT feature, res, CAST(least(floor(r * res), res - 1) AS INTEGER) AS bin, count(y) AS n, avg(y) AS mean FROM x, (SELECT unnest([3, 5, 10]) AS res) GROUP BY ALL) SELECT feature, CAST(res AS INTEGER) AS resolution, bin, n, round(mean, 6) AS mean, round(n / sum(n) OVER (PARTITION BY feature, res), 6) AS frequency, round(mean * n / sum(n) OVER (PARTITION BY feature, res), 6) AS contribution, CAST(sign(mean) AS INTEGER) AS direction FROM t")
+@register("surface_single", f"WITH {PANEL}, x AS (SELECT 'quantity' AS feature, ra AS r, y FROM p UNION ALL SELECT 'discount', rb, y FROM p), t AS (SELECT feature, res, CASE WHEN r IS NOT NULL THEN CAST(least(floor(r * res), res - 1) AS INTEGER) END AS bin, count(y) AS n, avg(y) AS mean FROM x, (SELECT unnest([3, 5, 10]) AS res) GROUP BY ALL) SELECT feature, CAST(res AS INTEGER) AS resolution, bin, n, round(mean, 6) AS mean, round(n / sum(n) OVER (PARTITION BY feature, res), 6) AS frequency, round(mean * n / sum(n) OVER (PARTITION BY feature, res), 6) AS contribution, CAST(sign(mean) AS INTEGER) AS direction FROM t")
 def surface_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-state surfaces of two features at three resolutions."""
     p = panel(spark, sf_dir)
     long = p.select(F.explode(F.array(F.struct(F.lit("quantity").alias("feature"), F.col("ra").alias("r")), F.struct(F.lit("discount").alias("feature"), F.col("rb").alias("r")))).alias("x"), "y").select("x.*", "y", F.explode(F.array(F.lit(3), F.lit(5), F.lit(10))).alias("resolution"))
-    t = long.groupBy("feature", "resolution", F.least(F.floor(F.col("r") * F.col("resolution")), F.col("resolution") - 1).cast("int").alias("bin")).agg(F.count("y").alias("n"), F.avg("y").alias("mean"))
+    t = long.groupBy("feature", "resolution", F.when(F.col("r").isNotNull(), F.least(F.floor(F.col("r") * F.col("resolution")), F.col("resolution") - 1)).cast("int").alias("bin")).agg(F.count("y").alias("n"), F.avg("y").alias("mean"))
     freq = F.col("n") / F.sum("n").over(Window.partitionBy("feature", "resolution"))
     return t.select("feature", "resolution", "bin", "n", r6("mean", "mean"), r6(freq, "frequency"), r6(F.col("mean") * freq, "contribution"), F.signum("mean").cast("int").alias("direction"))
 
