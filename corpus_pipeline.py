@@ -35,9 +35,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
     taken = mixing.mix(mixing.leveled(docs, F.col("doc_id").cast("long").alias("key")), mixing.LEVELS, mixing.WEIGHTS, share=0.6)
-    times = taken.groupBy("key").agg(F.count("*").cast("int").alias("times"))
-    out = docs.join(times, docs.doc_id.cast("long").eqNullSafe(times.key))
-    return out.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    times = taken.groupBy("key").agg(F.count("*").cast("int").alias("times")).select(F.col("key").alias("__key"), F.sequence(F.lit(1), F.col("times")).alias("__times"))
+    out = docs.join(times, docs.doc_id.cast("long").eqNullSafe(times["__key"]))
+    return out.withColumn("__time", F.explode("__times")).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from .bpe import op1_bpe_round_trip
 from .chat import SQL_OP3, op3_chat_format
 from .licenses import op7_license_scan
 from .mixing import op6_mix_sources
-from .near_dedup import op10_near_dedup
+from .near_dedup import SQL_OP10, op10_near_dedup
 from .quality import op8_quality_lines
 from .token_counts import op9_token_counts
 from .token_files import op5_token_files
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_topk": SQL_OP2, "op3_chat_format": SQL_OP3}
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": SQL_OP2, "op3_chat_format": SQL_OP3, "op10_near_dedup": SQL_OP10}
