@@ -241,6 +241,20 @@ class Lexicon:
         return None if k < 0 else tuple(self.ids[self.starts[k] : self.starts[k + 1]])
 
 
+def word_splitter(pattern: str):
+    """A function from a chunk without white space to its words by the pattern; the first two cases are its result for common chunks."""
+    findall = regex.compile(pattern).findall
+
+    def split(chunk: str) -> list[str]:
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?|":
+            return [chunk[:-1], chunk[-1]]
+        return findall(chunk)
+
+    return split
+
+
 class Codec:
     """Encodes and decodes as the vocabulary file says: NFC, lower case, words by pattern, bytes, merges within a word."""
 
@@ -251,7 +265,7 @@ class Codec:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         steps = {x["type"]: x for x in spec["pre_tokenizer"]["pretokenizers"]}
-        self.words = regex.compile(steps["Split"]["pattern"]["Regex"])
+        self.split = word_splitter(steps["Split"]["pattern"]["Regex"])
         self.tokens = [""] * (1 + max([*self.merges.vocab.values(), *self.special.values()]))
         for token, k in [*self.merges.vocab.items(), *self.special.items()]:
             self.tokens[k] = token
@@ -263,14 +277,6 @@ class Codec:
         out = self.lexicon.get(raw) if self.lexicon else None
         return tuple(self.merges(raw)) if out is None else out
 
-    def split(self, chunk: str) -> list[str]:
-        """The pattern's words in a chunk without white space; the first two cases are its result for common chunks."""
-        if chunk.isalpha():
-            return [chunk]
-        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?|":
-            return [chunk[:-1], chunk[-1]]
-        return self.words.findall(chunk)
-
     def chunk(self, chunk: str) -> tuple[int, ...]:
         words = self.split(chunk)
         return self.word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.word, words)))

@@ -17,15 +17,17 @@ no rows; other columns are never read.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_chars, chunks_of, word_splitter
 from .common import batched, new_path, once, schema_of, ship, texts
 
 #: A null document id in an index file.
@@ -37,7 +39,7 @@ READ = 4 << 20
 FILE_BYTES = 64 << 20
 
 
-LANE = 1024
+LANE = 256
 
 
 def _crc_tables() -> np.ndarray:
@@ -71,8 +73,8 @@ def crc32c(data: bytes) -> int:
     x[-n:] = np.frombuffer(data, np.uint8)
     x[lanes * LANE - n : lanes * LANE - n + 4] ^= 255
     out = 0
-    for at in range(0, lanes, 4096):
-        part = x[at * LANE : (at + 4096) * LANE].reshape(-1, LANE)
+    for at in range(0, lanes, 16384):
+        part = x[at * LANE : (at + 16384) * LANE].reshape(-1, LANE)
         for r in np.bitwise_xor.reduce(_TABLES[_PLACES, part], axis=1).tolist():
             if out:
                 r ^= int(_OVER[0][out & 255] ^ _OVER[1][out >> 8 & 255] ^ _OVER[2][out >> 16 & 255] ^ _OVER[3][out >> 24])
@@ -85,9 +87,11 @@ def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def serialized(ids: list[int]) -> bytes:
-    width, code = (2, "<u2") if max(ids, default=0) < 1 << 16 else (4, "<u4")
-    return bytes([width]) + np.array(ids, code).tobytes()
+def serialized(ids: bytes) -> bytes:
+    """Ids, given as little-endian unsigned 32-bit integers, as a record's sequence."""
+    wide = np.frombuffer(ids, "<u4")
+    width, code = (2, "<u2") if not len(wide) or int(wide.max()) < 1 << 16 else (4, "<u4")
+    return bytes([width]) + wide.astype(code).tobytes()
 
 
 def restored(data: bytes) -> bytes:
@@ -133,7 +137,7 @@ class _Write:
     def files(self, batches, part: int) -> Iterator[tuple]:
         fs, folder = file_system(self.folder)
         fs.create_dir(folder, recursive=True)
-        encode, tail = self.encoder(), self.end_id
+        encode, tail = self.encoder(), struct.pack("<I", self.end_id)
         out, k = None, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -142,10 +146,10 @@ class _Write:
                     if out is None:
                         name = f"{folder}/part-{part:06d}-{k:04d}-{uuid.uuid4().hex}"
                         out, index, first, bytes_, tokens = fs.open_output_stream(f"{name}.tmp"), bytearray(), doc_id, 0, 0
-                    record = frame(serialized([*ids, tail]))
-                    index += INDEX.pack(NULL_ID if doc_id is None else doc_id, bytes_, tokens, len(ids) + 1)
+                    record = frame(serialized(ids + tail))
+                    index += INDEX.pack(NULL_ID if doc_id is None else doc_id, bytes_, tokens, len(ids) // 4 + 1)
                     out.write(record)
-                    bytes_, tokens = bytes_ + len(record), tokens + len(ids) + 1
+                    bytes_, tokens = bytes_ + len(record), tokens + len(ids) // 4 + 1
                     if bytes_ >= FILE_BYTES:
                         yield self.close(fs, out, name, index, part, k, first, tokens)
                         out, k = None, k + 1
@@ -164,7 +168,7 @@ MANIFEST = "part int, file int, name string, first_id long, records long, tokens
 
 
 def write(docs: DataFrame, folder: str, encoder, end_id: int) -> DataFrame:
-    """Writes docs (doc_id, text) under folder in ascending id order and returns the manifest. encoder() gives a function from texts to lists of ids."""
+    """Writes docs (doc_id, text) under folder in ascending id order and returns the manifest. encoder() gives a function from texts to their ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -222,23 +226,70 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(_Read(folder, schema_of(schema)), schema)
 
 
-def library_encoder(spark: SparkSession, vocab_path: str):
-    """The tokenizers library on the vocabulary file, which is of fixed size and is broadcast."""
-    with open(vocab_path, encoding="utf-8") as f:
-        sent, name = spark.sparkContext.broadcast(f.read()), uuid.uuid4().hex
+class LibraryEncoder:
+    """Texts to ids by the tokenizers library, with a memo of white-space separated chunks: the file's words never cross one.
+
+    The words of chunks that the memo lacks go to the library's model. Texts that may hold a special token's string go to
+    the library whole.
+    """
+
+    MEMO = 200_000
 
-    def make():
+    def __init__(self, spec: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_str(sent.value)
-        t.no_truncation()
-        t.no_padding()
-        return lambda batch: [e.ids for e in t.encode_batch([x or "" for x in batch], add_special_tokens=False)]
+        self.library = Tokenizer.from_str(spec)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.tokenize = self.library.model.tokenize
+        steps = {x["type"]: x for x in json.loads(spec)["pre_tokenizer"]["pretokenizers"]}
+        self.split, self.chars = word_splitter(steps["Split"]["pattern"]["Regex"]), byte_chars()
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: list[str]) -> None:
+        if len(self.memo) + len(chunks) > self.MEMO:
+            self.memo, self.old = {}, self.memo
+        tokenize, split, chars = self.tokenize, self.split, self.chars
+        for c in chunks:
+            ids = []
+            for w in split(c):
+                ids += [t.id for t in tokenize(w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]))]
+            self.memo[c] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        split = {k: chunks_of(t) for k, t in enumerate(texts) if t and "<|" not in t}
+        need = set(chain.from_iterable(split.values()))
+        missing = []
+        for c in need.difference(self.memo):
+            if (found := self.old.get(c)) is not None:
+                self.memo[c] = found
+            else:
+                missing.append(c)
+        known = self.memo
+        self.learn(missing)
+        if known is not self.memo:  # the memo began anew: carry over what this call needs
+            self.memo.update((c, known[c]) for c in need if c in known)
+        for k, t in enumerate(texts):
+            if k in split:
+                out[k] = b"".join(map(self.memo.__getitem__, split[k]))
+            elif t:
+                out[k] = self.whole(t)
+        return out
 
-    return lambda: once(("library", name), make)
+
+def library_encoder(spark: SparkSession, vocab_path: str):
+    """An encoder of the vocabulary file, which is of fixed size and is broadcast."""
+    with open(vocab_path, encoding="utf-8") as f:
+        sent, name = spark.sparkContext.broadcast(f.read()), uuid.uuid4().hex
+    return lambda: once(("library", name), lambda: LibraryEncoder(sent.value))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
