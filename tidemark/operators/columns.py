@@ -47,6 +47,28 @@ def unpacked(code: Column, bins: int) -> Column:
     return F.when(code < 255, part).cast("int")
 
 
+def sum_before(df: DataFrame, by: str, add: Column, then: Iterable[str] = (), *, falling: bool = False, buckets: int = 64, out: str = "before") -> DataFrame:
+    """df with the sum of `add` over all rows before each one in the order of a numeric column (then of others), without one task that holds all rows.
+
+    Rows are laid into ranges by approximate quantiles; each range is ordered by itself, and the sums of the ranges
+    before it are added. Known values only.
+    """
+    df = df.where(F.col(by).isNotNull())
+    cuts = sorted(set(df.approxQuantile(by, [k / buckets for k in range(1, buckets)], 0.005)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(by))) if cuts else F.lit(0)
+    df = df.withColumn("_add", add.cast("double")).withColumn("_range", -part if falling else part)
+    own = Window.partitionBy("_range").orderBy(F.desc(by) if falling else F.asc(by), *then).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = df.groupBy("_range").agg(F.sum("_add").alias("_t"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_t").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_offset"))  # one row a range
+    return df.join(F.broadcast(ranges), "_range").withColumn(out, F.col("_offset") + F.coalesce(F.sum("_add").over(own), F.lit(0.0))).drop("_range", "_add", "_offset")
+
+
+def quantile_group(before: Column, n: Column, k: int) -> Column:
+    """ntile(k) from a row's place and the number of rows: the first n mod k groups have one row more."""
+    q, r = F.floor(n / k), n % k
+    return (F.when(before < r * (q + 1), F.floor(before / (q + 1))).otherwise(r + F.floor((before - r * (q + 1)) / q)) + 1).cast("long")
+
+
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "q_value", invalid_as_one: bool = False) -> DataFrame:
     """Step-up adjusted p values by a reverse running minimum. Input: one row a test, an already reduced table."""
     valid = F.col(p).isNotNull() & ~F.isnan(F.col(p))

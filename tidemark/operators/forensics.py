@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.columns import sum_before
+
 
 def islands(df: DataFrame, keys: list[str], order: list[str], joined: Column, out: str = "episode") -> DataFrame:
     """Numbers runs of rows: a row opens a new episode unless `joined` holds."""
@@ -27,7 +29,7 @@ def distribution(df: DataFrame, y: str, by: Iterable[str] = ()) -> DataFrame:
 def concentration(df: DataFrame, y: str, key: str) -> DataFrame:
     """Share of the signed total in the largest 1 and 5 percent of rows (ceil(n p) rows)."""
     n = df.where(F.col(y).isNotNull()).agg(F.count("*").alias("n"), F.sum(y).alias("total"))
-    r = df.where(F.col(y).isNotNull()).withColumn("r", F.row_number().over(Window.orderBy(F.desc(y), key))).crossJoin(F.broadcast(n))
+    r = sum_before(df, y, F.lit(1), [key], falling=True).withColumn("r", F.col("before") + 1).crossJoin(F.broadcast(n))
     part = lambda p: F.sum(F.when(F.col("r") <= F.ceil(F.col("n") * p), F.col(y))) / F.first("total")
     return r.agg(part(0.01).alias("top1"), part(0.05).alias("top5"))
 
@@ -51,8 +53,8 @@ def admitted(df: DataFrame, keys: list[str], order: list[str], hold: int) -> Dat
 def concurrency(df: DataFrame, start: str, stop: str) -> DataFrame:
     """Open intervals over time: +1 at a start, -1 at a stop, summed by time before the running sum."""
     ev = df.select(F.col(start).alias("t"), F.lit(1).alias("d")).unionByName(df.select(F.col(stop).alias("t"), F.lit(-1).alias("d")))
-    by = ev.groupBy("t").agg(F.sum("d").alias("d"))
-    return by.select("t", F.sum("d").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)).alias("open"))
+    by = ev.groupBy("t").agg(F.sum("d").alias("d")).withColumn("_at", F.unix_micros(F.col("t").cast("timestamp")).cast("double"))
+    return sum_before(by, "_at", F.col("d")).select("t", (F.col("before") + F.col("d")).alias("open"))
 
 
 def capped(signals: DataFrame, slots: int) -> DataFrame:

@@ -86,9 +86,10 @@ def finite_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("state_predicate", "SELECT state, count(*) AS n FROM (SELECT CASE WHEN p_retailprice IS NOT NULL AND isfinite(p_retailprice) THEN CASE WHEN k <= 0.05e0 THEN 0 WHEN k >= 0.95e0 THEN 1 ELSE -1 END ELSE -1 END AS state FROM (SELECT p_retailprice, (rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2e0 - 0.5e0) / count(*) OVER () AS k FROM part)) GROUP BY state")
 def state_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tail states of a mid-rank; everything else is -1."""
-    p = table(spark, sf_dir, "part").select("p_retailprice")
-    k = C.mid_rank(F.col("p_retailprice"), [])
-    return p.withColumn("k", k).select(F.when(F.col("k") <= 0.05, 0).when(F.col("k") >= 0.95, 1).otherwise(-1).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+    p = table(spark, sf_dir, "part").where("p_retailprice IS NOT NULL").groupBy("p_retailprice").agg(F.count("*").alias("k"))
+    n = p.agg(F.sum("k").alias("n"))
+    x = C.sum_before(p, "p_retailprice", F.col("k")).crossJoin(F.broadcast(n)).withColumn("rank", (F.col("before") + F.col("k") / 2) / F.col("n"))
+    return x.select(F.when(F.col("rank") <= 0.05, 0).when(F.col("rank") >= 0.95, 1).otherwise(-1).alias("state"), "k").groupBy("state").agg(F.sum("k").alias("n"))
 
 
 @register("cell_membership", "SELECT count(*) AS n, count(DISTINCT p_brand) AS brands FROM part WHERE p_size IN (1, 5, 9) OR p_brand IN ('Brand#11', 'Brand#22')")
@@ -200,9 +201,11 @@ def window_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window functions; those of one specification share a sort."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     d = F.to_date("ts")
-    return table(spark, sf_dir, "events").select(
+    e = table(spark, sf_dir, "events")
+    e = C.sum_before(e, "value", F.lit(1), ["event_id"]).crossJoin(F.broadcast(e.agg(F.count("*").alias("all"))))
+    return e.select(
         "event_id", F.row_number().over(w).cast("long").alias("rn"), F.dense_rank().over(Window.partitionBy("user_id").orderBy(d)).cast("long").alias("session"), r6(F.lag("value", 2).over(w), "lag2"), r6(F.lead("value").over(w), "next"), r6(F.first("value").over(Window.partitionBy("user_id", d).orderBy("ts", "event_id")), "session_first"), r6(F.cume_dist().over(Window.partitionBy("event_type").orderBy("value")), "cume"), F.count("*").over(Window.partitionBy("user_id")).alias("n"),
-        r6(F.min("value").over(w.rowsBetween(0, Window.unboundedFollowing)), "low_ahead"), r6(F.max(F.when(F.col("event_type") == "purchase", F.col("value"))).over(Window.partitionBy(d)), "day_mark"), r6(F.percentile("value", F.lit(0.5)).over(w.rowsBetween(-5, -1)), "prior_median"), F.round(F.sum("value").over(w.rowsBetween(-2, 0)), 4).alias("sum3"), F.ntile(5).over(Window.orderBy("value", "event_id")).cast("long").alias("quintile"),
+        r6(F.min("value").over(w.rowsBetween(0, Window.unboundedFollowing)), "low_ahead"), r6(F.max(F.when(F.col("event_type") == "purchase", F.col("value"))).over(Window.partitionBy(d)), "day_mark"), r6(F.percentile("value", F.lit(0.5)).over(w.rowsBetween(-5, -1)), "prior_median"), F.round(F.sum("value").over(w.rowsBetween(-2, 0)), 4).alias("sum3"), C.quantile_group(F.col("before"), F.col("all"), 5).alias("quintile"),
     )
 
 

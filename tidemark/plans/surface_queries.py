@@ -173,9 +173,8 @@ def rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).select("a", "y").where("a IS NOT NULL AND y IS NOT NULL")
 
     def ranked(c: str) -> DataFrame:
-        v = p.groupBy(c).agg(F.count("*").alias("k"))
-        before = F.coalesce(F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return v.select(F.col(c), (before + (F.col("k") + 1) / 2).alias(f"k{c}"))
+        v = C.sum_before(p.groupBy(c).agg(F.count("*").alias("k")), c, F.col("k"))
+        return v.select(F.col(c), (F.col("before") + (F.col("k") + 1) / 2).alias(f"k{c}"))
 
     return p.join(ranked("a"), "a").join(ranked("y"), "y").agg(F.count("*").alias("n"), r6(F.corr("ka", "ky"), "rank_ic"))
 
