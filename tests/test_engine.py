@@ -146,3 +146,11 @@ def test_streams_equal_batch(spark, tmp_path):
     want = pdf.groupby("user_id")["value"].transform(lambda v: v.shift().rolling(5, min_periods=1).mean())
     assert len(out) == len(pdf)
     assert all(pd.isna(w) if out[i] is None else out[i] == pytest.approx(w) for i, w in zip(pdf["event_id"], want))
+
+
+def test_pair_plan():
+    from tidemark.operators.pairs import plan, tails
+
+    p = plan()
+    assert len(p) == 305 and p[0] == ("resid_tod_tail_1m", "body_share_1m") and p[304] == ("liquidity_rank_20d", "dollar_per_trade_tod_tail_1m")
+    assert len(tails()) == 72

@@ -45,3 +45,31 @@ def pack(spark: SparkSession, sf_dir: str, block: str) -> DataFrame:
 
 for _block in BLOCKS:
     register(f"clock_{_block}", staged.sql(GRID, _stages, KEYS, BLOCKS[_block], 6, CHECK))(partial(pack, block=_block))
+
+
+def _pair_stages(q: Sql) -> list[dict[str, str]]:
+    from tidemark.operators.pairs import section
+
+    p = Pack(q, hist=8, beta_sessions=6, beta_least=40)
+    legs = ["resid_tod_tail_1m", *section("path")]
+    bins = {f"b_{x}": f"CASE WHEN q_{x} IS NOT NULL THEN CAST(least(floor(q_{x} * 3e0), 2) AS INTEGER) END" for x in legs}
+    return [*p.stages(), {f"past_{x}": p.past(x) for x in legs}, {f"q_{x}": f"({p.tail(x)} + 1e0) / 2e0" for x in legs}, bins]
+
+
+def _pair_sql() -> str:
+    from tidemark.operators.pairs import section
+
+    wide = staged.as_sql(GRID, _pair_stages(CHECK), ["*"])
+    parts = " UNION ALL ".join(f"SELECT '{b}' AS second, b_resid_tod_tail_1m * 3 + b_{b} AS cell, fwd_raw_1m AS y FROM wide" for b in section("path"))
+    return f"WITH wide AS ({wide}), long AS ({parts}) SELECT second, CAST(cell AS INTEGER) AS cell, count(*) AS n, round(avg(y), 6) + 0e0 AS mean, round(stddev_samp(y), 6) AS sd FROM long WHERE cell IS NOT NULL AND y IS NOT NULL GROUP BY ALL"
+
+
+@register("clock_pair_surfaces", _pair_sql())
+def clock_pair_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L scan, B.2: the surfaces of a section's pairs on same-clock rank bins, all in one shuffle."""
+    from tidemark.operators.pairs import section
+
+    wide = staged.apply(grid(spark, sf_dir), _pair_stages(SPARK))
+    rows = F.explode(F.array(*(F.struct(F.lit(b).alias("second"), (F.col("b_resid_tod_tail_1m") * 3 + F.col(f"b_{b}")).cast("int").alias("cell")) for b in section("path"))))
+    long = wide.select(rows.alias("x"), F.col("fwd_raw_1m").alias("y")).select("x.*", "y").where("cell IS NOT NULL AND y IS NOT NULL")
+    return long.groupBy("second", "cell").agg(F.count("*").alias("n"), (F.round(F.avg("y"), 6) + F.lit(0.0)).alias("mean"), F.round(F.stddev_samp("y"), 6).alias("sd"))
