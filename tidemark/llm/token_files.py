@@ -21,7 +21,7 @@ import json
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -233,7 +233,7 @@ class LibraryEncoder:
     the library whole.
     """
 
-    MEMO = 200_000
+    MEMO = 400_000
 
     def __init__(self, spec: str):
         import os
@@ -247,42 +247,39 @@ class LibraryEncoder:
         self.tokenize = self.library.model.tokenize
         steps = {x["type"]: x for x in json.loads(spec)["pre_tokenizer"]["pretokenizers"]}
         self.split, self.chars = word_splitter(steps["Split"]["pattern"]["Regex"]), byte_chars()
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo = _Chunks(self.ids_of, self.MEMO)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.memo) + len(chunks) > self.MEMO:
-            self.memo, self.old = {}, self.memo
-        tokenize, split, chars = self.tokenize, self.split, self.chars
-        for c in chunks:
-            ids = []
-            for w in split(c):
-                ids += [t.id for t in tokenize(w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]))]
-            self.memo[c] = struct.pack(f"<{len(ids)}I", *ids)
+    def ids_of(self, chunk: str) -> bytes:
+        words = self.split(chunk)
+        if words != [chunk]:
+            return b"".join(map(self.memo.__getitem__, words))
+        ids = [t.id for t in self.tokenize(chunk if chunk.isascii() and chunk.isprintable() else "".join([self.chars[b] for b in chunk.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        split = {k: chunks_of(t) for k, t in enumerate(texts) if t and "<|" not in t}
-        need = set(chain.from_iterable(split.values()))
-        missing = []
-        for c in need.difference(self.memo):
-            if (found := self.old.get(c)) is not None:
-                self.memo[c] = found
-            else:
-                missing.append(c)
-        known = self.memo
-        self.learn(missing)
-        if known is not self.memo:  # the memo began anew: carry over what this call needs
-            self.memo.update((c, known[c]) for c in need if c in known)
-        for k, t in enumerate(texts):
-            if k in split:
-                out[k] = b"".join(map(self.memo.__getitem__, split[k]))
-            elif t:
-                out[k] = self.whole(t)
-        return out
+        known = self.memo.__getitem__
+        return [b"" if not t else self.whole(t) if "<|" in t else b"".join(map(known, chunks_of(t))) for t in texts]
+
+
+class _Chunks(dict):
+    """Ids of chunks and words seen by this worker, in two generations: what is used again outlives the rest."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.make(chunk)
+        if len(chunk) <= 64:
+            self[chunk] = found
+        return found
 
 
 def library_encoder(spark: SparkSession, vocab_path: str):
