@@ -38,6 +38,8 @@ HASHES, ROWS, BATCH = 96, 4, 16
 MISS = 1e-7
 #: Members of a bucket worked on at a time.
 BLOCK = 512
+#: Ids that may be broadcast to pick texts (16 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 500_000
 
 _seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = _seeds[:HASHES] | np.uint64(1), _seeds[HASHES:]
@@ -233,16 +235,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     member = written(spark, full.select("doc_id", "same").distinct().join(classes, "same").select("doc_id", "id"), "members")
     reps = full.join(member.where("doc_id = id").select("doc_id").distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = written(spark, reps, "classes")
-    rep_text = docs.join(member.where("doc_id = id").select("doc_id").distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
     rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = written(spark, rows.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1"), "buckets")
     rows = written(spark, rows.join(buckets, "key"), "rows")
     sig = reps.select("id", "sig", "n")
 
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        """(id, text) of the given ids; few ids go to the texts, many texts come to the ids."""
+        need = written(spark, ids.select(F.col("id").alias("doc_id")).distinct(), f"{name}-ids")
+        need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+        return written(spark, docs.join(need, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")), f"{name}-texts")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = written(spark, pairs, f"{name}-pairs")
-        need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        have = written(spark, rep_text.join(need, "id"), f"{name}-texts")
+        have = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), name)
         both = pairs.join(have.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(have.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return written(spark, map_rows(both.select("a", "b", "text_a", "text_b"), "a long, b long", lambda: _verify(words, percent)), f"{name}-links")
 
@@ -259,7 +265,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     now = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     now = now.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    now = now.join(reps, "id").join(rep_text, "id")
+    now = written(spark, now.select("key", "band", "id", "comp", "blocks", "block"), "mixed")
+    now = now.join(reps, "id").join(texts_of(now, "mixed"), "id")
     now = now.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))).alias("at"))
     now = now.select("key", "at.i", "at.j", "block", "band", "id", "comp", "n", "sig", "bands", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     found = now.mapInArrow(_Buckets(words, percent, schema_of("a long, b long")), "a long, b long")
