@@ -140,3 +140,31 @@ def own_history_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_section_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile ranks of a decision."""
     return bars(spark, sf_dir).select("security_id", "session_date", r6(C.average_rank(F.col("close"), ["session_date"]), "average_rank"), r6(C.mid_rank(F.col("close"), ["session_date"]), "mid_rank"))
+
+
+@register("session_history", """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, epoch_us(ts) / 60e6 AS t, value, 1e0 + event_id % 7 AS v FROM events), x AS (SELECT *, t - min(t) OVER (PARTITION BY user_id, day) AS o FROM e),
+s AS (SELECT user_id, day, arg_min(value, t) AS so, arg_max(value, t) AS sc, arg_max(value, t) FILTER (WHERE o <= 60) AS p60, arg_max(value, t) FILTER (WHERE o <= 240) AS p240, sum(v) FILTER (WHERE o <= 60) AS ov FROM x GROUP BY ALL),
+h AS (SELECT *, lag(sc) OVER w AS pc, CASE WHEN count(ov) OVER p >= 3 THEN avg(ov) OVER p END AS mv FROM s WINDOW w AS (PARTITION BY user_id ORDER BY day), p AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+SELECT user_id, day, round(ov / mv, 6) AS opening_rvol_60m, round(CASE WHEN so <> pc THEN greatest(-2, least(2, (so - p60) / (so - pc))) END, 6) + 0e0 AS gap_fill_fraction_60m, round(p240 / so - 1, 6) + 0e0 AS open_to_midday_return, round(sc / p240 - 1, 6) + 0e0 AS midday_to_close_return FROM h""")
+def session_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K session: opening volume against prior sessions, gap fills, the session's halves."""
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "value", (1.0 + F.col("event_id") % 7).alias("v"))
+    m = P.session_metrics(e, ["user_id", "day"], "ts", "value", "v", (60, 240))
+    w = Window.partitionBy("user_id").orderBy("day")
+    p = w.rowsBetween(-5, -1)
+    m = m.withColumn("pc", F.lag("session_close").over(w)).withColumn("mv", F.when(F.count("opening_volume_60m").over(p) >= 3, F.avg("opening_volume_60m").over(p)))
+    fill = -F.col("opening_return_60m") * F.col("session_open") / F.nullif(F.col("session_open") - F.col("pc"), F.lit(0.0))
+    fill = F.when(fill > 2, 2.0).when(fill < -2, -2.0).otherwise(fill)
+    mid = F.col("opening_return_240m")
+    return m.select("user_id", "day", r6(F.col("opening_volume_60m") / F.col("mv"), "opening_rvol_60m"), r6(fill, "gap_fill_fraction_60m"), r6(mid, "open_to_midday_return"), r6(F.col("session_close") / (F.col("session_open") * (1 + mid)) - 1, "midday_to_close_return"))
+
+
+@register("same_bucket_features", """WITH h AS (SELECT user_id % 5 AS k, extract(hour FROM ts) // 4 AS bucket, CAST(ts AS DATE) AS day, avg(value) AS v, sum(value) AS vol FROM events GROUP BY ALL), r AS (SELECT *, (rank() OVER (PARTITION BY day, bucket ORDER BY v) + (count(*) OVER (PARTITION BY day, bucket, v) - 1) / 2e0) / count(*) OVER (PARTITION BY day, bucket) AS rk FROM h)
+SELECT k, CAST(bucket AS INTEGER) AS bucket, day, round(CASE WHEN count(vol) OVER p >= 4 THEN vol / avg(vol) OVER p END, 6) AS same_bucket_rvol, round(CASE WHEN count(v) OVER p >= 4 THEN stddev_samp(v) OVER p END, 6) AS same_bucket_volatility, round(CASE WHEN count(rk) OVER p >= 4 THEN avg(rk) OVER p END, 7) AS same_bucket_return_rank FROM r WINDOW p AS (PARTITION BY k, bucket ORDER BY day ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)""")
+def same_bucket_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K same_time: volume, deviation and cross-sectional rank against the same clock bucket of prior sessions."""
+    h = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("k"), F.floor(F.hour("ts") / 4).cast("int").alias("bucket"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"), F.sum("value").alias("vol"))
+    h = h.withColumn("rk", C.average_rank(F.col("v"), ["day", "bucket"]))
+    p = Window.partitionBy("k", "bucket").orderBy("day").rowsBetween(-8, -1)
+    enough = lambda c, x: F.when(F.count(c).over(p) >= 4, x)
+    return h.select("k", "bucket", "day", r6(enough("vol", F.col("vol") / F.avg("vol").over(p)), "same_bucket_rvol"), r6(enough("v", F.stddev_samp("v").over(p)), "same_bucket_volatility"), F.round(enough("rk", F.avg("rk").over(p)), 7).alias("same_bucket_return_rank"))
