@@ -37,7 +37,7 @@ LEAST_COUNT = 3
 #: Words longer than this are merged, not compiled.
 LEXICON_BYTES = 64
 #: A worker forgets its memo of chunks at this many entries.
-MEMO = 200_000
+MEMO = 400_000
 
 
 def byte_chars() -> list[str]:
@@ -279,7 +279,7 @@ class Codec:
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         words = self.split(chunk)
-        return self.word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.word, words)))
+        return self.word(chunk) if words == [chunk] else tuple(chain.from_iterable(map(self.memo.__getitem__, words)))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -378,18 +378,27 @@ def build(docs: DataFrame, vocab_path: str, most: int = LEXICON_WORDS) -> tuple[
     return file_bytes, compile_lexicon((raw, merges(raw)) for raw in (w.encode() for w in frequent_words(docs, file_bytes, most)))
 
 
-#: What encode_decode can return for a document, from its ids and its decoded text.
 def _digest(text: str) -> str:
     import hashlib
 
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+class _Decimal(dict):
+    """Ids as text, made once each."""
+
+    def __missing__(self, k: int) -> str:
+        out = self[k] = str(k)
+        return out
+
+
+_decimal = _Decimal()
+#: What encode_decode can return for a document, from its ids and its decoded text.
 OUTPUTS = {
     "n_tokens": ("long", lambda ids, decoded: len(ids)),
     "ids": ("array<int>", lambda ids, decoded: ids),
     "decoded": ("string", lambda ids, decoded: decoded()),
-    "ids_sha256": ("string", lambda ids, decoded: _digest(" ".join(map(str, ids)))),
+    "ids_sha256": ("string", lambda ids, decoded: _digest(" ".join(map(_decimal.__getitem__, ids)))),
     "decoded_sha256": ("string", lambda ids, decoded: _digest(decoded())),
 }
 
