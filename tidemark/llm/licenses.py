@@ -2,12 +2,14 @@
 
 A sparse (L1) multinomial logistic regression over word 1- to 3-grams tells licence families apart, with a class for
 unknown licences; its temperature is fitted on held-out training rows. It is trained on the driver from the notices
-below, a set of fixed size that does not grow with the data. Paragraphs (lines) that make a licence claim, that is,
-hold one of ANCHORS, are scored by a join with the weights (at most MODEL_FEATURES rows, hence broadcast) and sums. A
-prediction is confirmed when the words of one of the family's names stand in the paragraph.
-
-Defined results: null and empty texts have no paragraphs and give no rows; a paragraph without known n-grams is of the
-unknown class; repeated rows give repeated results; null ids are carried; an empty table gives no rows; other columns
+below, a set of fixed size that does not grow with the data. Paragraphs (lines) are scored by a join with the weights
+(at most MODEL_FEATURES rows, hence broadcast) and sums. Left out are only paragraphs without any of the model's trigger
+words: what their n-grams could add at most is less than what the bias keeps between the unknown class and each family,
+so they are of the unknown class whatever they say (see triggers). A prediction is confirmed when the words of one of
+the family's names stand in the paragraph.
+
+Defined results: null and empty texts have no paragraphs and give no rows; a paragraph is reported when it has a family,
+or when it is of the unknown class and holds one of ANCHORS; a paragraph without known n-grams is of the unknown class; repeated rows give repeated results; null ids are carried; an empty table gives no rows; other columns
 are never read.
 """
 
@@ -46,9 +48,13 @@ OTHER_NAMES = ["Acme Community License", "Foo Public License", "Custom License,
 NO_LICENCE = [
     "The driver's license was taken away.", "A fishing licence is required here.", "She holds a license to practise medicine.", "Copyright law is a hard subject.", "The license plate was found.",
     "The pub lost its licence last year.", "Poetic license is granted to poets.", "Copyright notices must be kept.", "They licensed the song to a film.", "A software license costs money.",
+    "Sie fahren mit dem Zug und er kommt mit.", "Ein Haus mit Garten.", "Er spricht mit der Frau.", "Wir gehen mit ihm nach Hause.", "Kaffee mit Milch, bitte.", "Das Kind spielt mit einem Ball.", "Was ist mit den anderen?", "Komm mit!",
+    "She studied at MIT for two years.", "A cup of coffee for the new neighbours.", "He sat under the tree by the river.", "The version of the story is free for all.", "The software is available to the public.",
 ]
-#: What a licence claim holds; other paragraphs are not scored.
+#: What a claim of an unknown licence holds. Paragraphs of the unknown class without it make no claim and are not reported.
 ANCHORS = ["licen", "copyright", "spdx", "rights reserved", "public domain", "gpl", "creative commons", "cc by", "cc-by", "cc0", "apache", "bsd", "mozilla", "mit/x11", "released under"]
+#: Words that are common in any text, taken as triggers last. They bear on speed alone.
+COMMON = set("a all any be by c data file free found from has have here if in is it its last may must new not of old or other s she software source that the they this to under use version was will with work year you 1 2 3".split())
 UNKNOWN = "unknown"
 #: Most n-grams with a weight; longest n-gram; least probability of a prediction; least share of a name's words that confirms it.
 MODEL_FEATURES, LONGEST, LEAST_PROBABILITY, CONFIRM = 5_000, 3, 0.5, 1.0
@@ -84,7 +90,7 @@ def trained() -> tuple[list[str], dict[str, list[float]]]:
         v /= np.linalg.norm(v)
     step = 2 * len(rows) / np.linalg.norm(X @ v) ** 2
     T, D = X[~held], Y[~held]
-    for _ in range(250):  # proximal gradient
+    for _ in range(1000):  # proximal gradient
         W -= step * (T.T @ (_softmax(T @ W) - D) / len(rows))
         W = np.sign(W) * np.maximum(np.abs(W) - step * 2e-5, 0)
     scales = np.exp(np.linspace(-1, 1.5, 26))
@@ -93,37 +99,64 @@ def trained() -> tuple[list[str], dict[str, list[float]]]:
     return classes, {x: W[k].tolist() for x, k in vocab.items() if x == "" or np.abs(W[k]).max() > 1e-6}
 
 
+@lru_cache(maxsize=1)
+def triggers() -> list[str]:
+    """Words without which no paragraph has a family: all n-grams that hold none of them add up to less than the bias has for the unknown class."""
+    _, weights = trained()
+    names = [x for x in weights if x]
+    W = np.array([weights[x] for x in names])
+    gain = np.maximum(W[:, :-1] - W[:, -1:], 0)  # at most, for each family over the unknown class
+    room = weights[""][-1] - np.array(weights[""][:-1])
+    holds: dict[str, list[int]] = {}
+    for k, x in enumerate(names):
+        for word in set(x.split()):
+            holds.setdefault(word, []).append(k)
+    open_, out = np.ones(len(names), bool), []
+    if (room <= 0).any():
+        raise ValueError("the bias alone gives a family")
+    while True:
+        over = gain[open_].sum(axis=0) >= room - 1e-6
+        if not over.any():
+            return out
+        worth = {x: gain[at][open_[at]][:, over].sum() for x, at in holds.items() if x not in out}
+        best = max(sorted(worth), key=lambda x: (worth[x] > 0 and x not in COMMON, worth[x]))
+        out.append(best)
+        open_[holds[best]] = False
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def claims(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in ANCHORS))
+def holds_one(text: Column, of: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in of))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (its line), family, probability, confirmed of every paragraph that makes a licence claim."""
+    """doc_id, paragraph (its line), family, probability, confirmed of every paragraph that has a licence family or claims an unknown licence."""
     spark = docs.sparkSession
     classes, weights = trained()
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).where(claims(F.col("text")))
-    p = d.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text")).where(claims(F.col("text")))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    p = d.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
+    # a trigger word's letters or an anchor, which is quickly seen, and then the words themselves
+    p = p.withColumn("claim", holds_one(F.col("text"), ANCHORS)).where(F.col("claim") | holds_one(F.col("text"), triggers()))
     words = F.regexp_extract_all("text", F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
-    p = p.select("row", "doc_id", "paragraph", words.alias("words"))
+    p = p.select("row", "doc_id", "paragraph", "claim", words.alias("words")).where(F.col("claim") | F.arrays_overlap("words", F.array(*map(F.lit, triggers()))))
 
     def runs(n: int) -> Column:
         at = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda k: F.array_join(F.slice("words", k, n), " "))
 
-    own = p.select("row", "doc_id", "paragraph", "words", F.explode(F.array_union(F.array(F.lit("")), F.array_distinct(F.concat(*map(runs, range(1, LONGEST + 1)))))).alias("gram"))
+    own = p.select("row", "doc_id", "paragraph", "claim", "words", F.explode(F.array_union(F.array(F.lit("")), F.array_distinct(F.concat(*map(runs, range(1, LONGEST + 1)))))).alias("gram"))
     names = [f"w{k}" for k in range(len(classes))]
     model = spark.createDataFrame([(x, *w) for x, w in weights.items()], "gram string, " + ", ".join(f"{n} double" for n in names))
-    s = own.join(F.broadcast(model), "gram").groupBy("row", "doc_id", "paragraph").agg(F.first("words").alias("words"), *(F.sum(n).alias(n) for n in names))
+    s = own.join(F.broadcast(model), "gram").groupBy("row", "doc_id", "paragraph").agg(F.first("words").alias("words"), F.first("claim").alias("claim"), *(F.sum(n).alias(n) for n in names))
     top = F.greatest(*names)
     odds = [F.exp(F.col(n) - F.col("top")) for n in names]
     s = s.withColumn("top", top).withColumn("probability", 1 / reduce(lambda a, b: a + b, odds))
     best = reduce(lambda c, k: c.when(F.col(names[k]) == F.col("top"), F.lit(classes[k])), range(len(classes) - 1), F.when(F.lit(False), F.lit(""))).otherwise(F.lit(UNKNOWN))
-    s = s.withColumn("family", F.when(F.col("probability") >= LEAST_PROBABILITY, best).otherwise(F.lit(UNKNOWN)))
+    s = s.withColumn("family", F.when(F.col("probability") >= LEAST_PROBABILITY, best).otherwise(F.lit(UNKNOWN))).where(F.col("claim") | (F.col("family") != UNKNOWN))
 
     def named(name: str) -> Column:
         w = sorted(set(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", name.lower())))
