@@ -22,8 +22,8 @@ from .words import WHITE_BYTES, hashes, windows
 SYMBOLS = b"#*$%&|<>"
 #: Base rules: least words, largest share (percent) of words in repeated windows of WINDOW words.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
-#: A line is common when over LINE_DOCUMENTS distinct documents of its host hold it, and over LINE_SHARE of them.
-LINE_DOCUMENTS, LINE_SHARE = 20, 0.002
+#: A line is common when over LINE_DOCUMENTS distinct documents of its host hold it, whatever the host's size.
+LINE_DOCUMENTS = 20
 #: A document is depleted when fewer than this share of its words is left.
 LEAST_LEFT = 0.3
 
@@ -78,10 +78,9 @@ def quality(docs: DataFrame, host_col: str = "source") -> DataFrame:
     base = written(spark, base.withColumn("row", F.monotonically_increasing_id()), "quality")
     # one row of each distinct text of a host stands for its copies
     first = base.where("same is not null").groupBy("host", "same").agg(F.min("row").alias("row"))
-    of_host = first.groupBy("host").agg(F.count("*").alias("host_documents"))
     lines = base.join(first.select("row"), "row", "left_semi").select("host", "doc_id", F.explode("lines").alias("line"))
     common = lines.groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id")).where(F.col("documents") > LINE_DOCUMENTS)
-    common = common.join(of_host, common.host.eqNullSafe(of_host.host)).where(F.col("documents") > LINE_SHARE * F.col("host_documents")).select(common.host.alias("at"), "line", "first_id")
+    common = common.select(F.col("host").alias("at"), "line", "first_id")
     of_row = base.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
     gone = of_row.join(common, (of_row.line == common.line) & of_row.host.eqNullSafe(common["at"])).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     gone = gone.groupBy("row").agg(F.sum("n").alias("gone"))
