@@ -13,6 +13,9 @@ from tidemark.operators.clock import BLOCKS, Pack
 from tidemark.plans import staged
 from tidemark.sources.tables import table
 
+#: Days of 24 hours in these tables: the lengths of 30 minutes, 20 sessions and 15 minutes are cut to what they hold.
+SHORT = {"n30": 10, "n20": 8, "n15": 7}
+COLUMNS = {block: [x.replace("breakout_dist_high_15m", "breakout_dist_high_7m").replace("breakout_dist_low_15m", "breakout_dist_low_7m") for x in names] for block, names in BLOCKS.items()}
 KEYS = ["security_id", "session_no", "minute"]
 
 GRID = """SELECT s.security_id, d.session_no, m.minute, e.open, e.high, e.low, e.close, e.volume, e.vwap, e.trade_count, avg(e.close) OVER (PARTITION BY d.session_no, m.minute) AS market,
@@ -36,21 +39,21 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stages(q: Sql) -> list[dict[str, str]]:
-    return Pack(q, hist=8, beta_sessions=6, beta_least=40).stages()
+    return Pack(q, hist=8, beta_sessions=6, beta_least=40, **SHORT).stages()
 
 
 def pack(spark: SparkSession, sf_dir: str, block: str) -> DataFrame:
-    return staged.run(grid(spark, sf_dir), _stages, KEYS, BLOCKS[block], 6, SPARK)
+    return staged.run(grid(spark, sf_dir), _stages, KEYS, COLUMNS[block], 6, SPARK)
 
 
 for _block in BLOCKS:
-    register(f"clock_{_block}", staged.sql(GRID, _stages, KEYS, BLOCKS[_block], 6, CHECK))(partial(pack, block=_block))
+    register(f"clock_{_block}", staged.sql(GRID, _stages, KEYS, COLUMNS[_block], 6, CHECK))(partial(pack, block=_block))
 
 
 def _pair_stages(q: Sql) -> list[dict[str, str]]:
     from tidemark.operators.pairs import section
 
-    p = Pack(q, hist=8, beta_sessions=6, beta_least=40)
+    p = Pack(q, hist=8, beta_sessions=6, beta_least=40, **SHORT)
     legs = ["resid_tod_tail_1m", *section("path")]
     bins = {f"b_{x}": f"CASE WHEN q_{x} IS NOT NULL THEN CAST(least(floor(q_{x} * 3e0), 2) AS INTEGER) END" for x in legs}
     return [*p.stages(), {f"past_{x}": p.past(x) for x in legs}, {f"q_{x}": f"({p.tail(x)} + 1e0) / 2e0" for x in legs}, bins]
