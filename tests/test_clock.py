@@ -49,3 +49,33 @@ def test_lengths_are_what_the_names_say(bars, wide):
     equal(wide["tail_event_count_15m"], own["tail98"].transform(lambda x: x.rolling(15).sum()))
     equal(wide["shock_cluster_score_15m"], own["tail96"].transform(lambda x: sum(np.exp(-k / 5) * x.shift(k) for k in range(1, 16))))
     equal(wide["same_minute_resid_mean20d"], wide.groupby(["security_id", "minute"])["e_1"].transform(lambda x: x.shift().rolling(20).mean()))
+
+
+def test_all_targets(spark, bars, wide):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.clock import FACTOR_TARGETS
+    from tidemark.operators.factors import factor_block, loadings, pairwise_covariance, residuals
+
+    assert len({*BLOCKS["targets"], *FACTOR_TARGETS}) == 31
+    close = bars.groupby(["security_id", "session_no"])["close"]
+    equal(wide["fwd_raw_30m"], close.transform(lambda x: x.shift(-30)) / bars["close"] - 1)
+    stages = Pack(SPARK, hist=3, beta_sessions=2, beta_least=20).target_stages()
+    got = factor_block(staged.apply(spark.createDataFrame(bars.query("session_no < 6")), stages), 4, 1, 2, project=FACTOR_TARGETS).where(F.col("session_no") == 5).toPandas()
+    r1 = close.transform(lambda x: x / x.shift() - 1)
+    cube = lambda x: pd.DataFrame({"d": bars["session_no"], "m": bars["minute"], "s": bars["security_id"], "x": x}).pivot(index=["d", "m"], columns="s", values="x")
+    past = cube(r1).loc[1:4].to_numpy()
+    v = loadings(pairwise_covariance(past), 1)
+    for name, x in (("fwd_factor_resid_30m", close.transform(lambda x: x.shift(-30) / x - 1)), ("step_factor_resid_p3", close.transform(lambda x: x.shift(-3) / x.shift(-2) - 1))):
+        want = residuals(cube(x).loc[5:5].to_numpy(), v)
+        have = got.pivot(index="minute", columns="security_id", values=name).to_numpy()
+        assert np.isfinite(want).sum() >= 30
+        np.testing.assert_allclose(have, want, atol=1e-9)
+
+
+def test_factor_targets_query(spark):
+    from tidemark import catalog
+    from tidemark.plans import all_queries  # noqa: F401
+
+    df = catalog.queries()["clock_factor_targets"](spark, "/root/testdata/sf0.01")
+    assert len(df.columns) == 3 + 14 and df.where("fwd_factor_resid_1m IS NOT NULL AND step_factor_resid_p1 IS NOT NULL").count() > 100

@@ -18,9 +18,9 @@ NOW = "session_no, minute"
 class Pack:
     """n30, n20 and n15 are the lengths (minutes, sessions, minutes) that columns are named for; a small table's caller may shorten them."""
 
-    def __init__(self, q: Sql, hist: int, beta_sessions: int, beta_least: int, n30: int = 30, n20: int = 20, n15: int = 15):
+    def __init__(self, q: Sql, hist: int, beta_sessions: int, beta_least: int, n30: int = 30, n20: int = 20, n15: int = 15, horizons: tuple[int, ...] | None = None):
         self.q, self.h, self.bs, self.bl = q, hist, beta_sessions, beta_least
-        self.n30, self.n20, self.n15 = n30, n20, n15
+        self.n30, self.n20, self.n15, self.horizons = n30, n20, n15, horizons or HORIZONS
 
     # windows of the session
     def lag(self, x: str, k: int = 1) -> str:
@@ -112,10 +112,15 @@ class Pack:
             "minutes_since_tail_event": "CASE WHEN unknown_at IS NOT NULL AND (tail_at IS NULL OR unknown_at > tail_at) THEN NULL WHEN tail_at IS NULL THEN 30 ELSE least(30, minute - tail_at) END",
             "post_shock_recovery_3m": "CASE WHEN minute - shock_at <= 3 THEN " + f"-CASE minute - shock_at WHEN 1 THEN sign({lag('resid_tod_tail_1m', 1)}) * r_1 WHEN 2 THEN sign({lag('resid_tod_tail_1m', 2)}) * r_2 WHEN 3 THEN sign({lag('resid_tod_tail_1m', 3)}) * r_3 END END",
         }
-        s14 = {f"fwd_raw_{h}m": q.div(self.lead("close", h), "close") + " - 1e0" for h in HORIZONS} | {f"fwd_market_{h}": q.div(self.lead("market", h), "market") + " - 1e0" for h in HORIZONS} | {f"step_raw_p{h}": q.div(self.lead("close", h), self.lead("close", h - 1) if h > 1 else "close") + " - 1e0" for h in range(1, 6)}
-        s15 = {f"fwd_beta_resid_{h}m": f"fwd_raw_{h}m - beta * fwd_market_{h}" for h in HORIZONS}
+        s14 = {f"fwd_raw_{h}m": q.div(self.lead("close", h), "close") + " - 1e0" for h in self.horizons} | {f"fwd_market_{h}": q.div(self.lead("market", h), "market") + " - 1e0" for h in self.horizons} | {f"step_raw_p{h}": q.div(self.lead("close", h), self.lead("close", h - 1) if h > 1 else "close") + " - 1e0" for h in range(1, 6)}
+        s15 = {f"fwd_beta_resid_{h}m": f"fwd_raw_{h}m - beta * fwd_market_{h}" for h in self.horizons}
         return [s1, s2, s3, s4, s5, s6, s7, s8, s9, s10, s11, s12, s13, s14, s15]
 
+    def target_stages(self) -> list[dict[str, str]]:
+        """The stages that the targets need."""
+        s1, s2, s3, *_, s14, s15 = self.stages()
+        return [s1, s2, s3, s14, s15]
+
     def last_known(self, x: str) -> str:
         w = self.q.over(None, 0, IN, "minute")
         return f"last_value({x}, true) {w}" if self.q.spark else f"last_value({x} IGNORE NULLS) {w}"
@@ -130,7 +135,7 @@ class Pack:
 
 
 #: Forward horizons, in minutes.
-HORIZONS = (1, 2, 3, 5, 10, 15)
+HORIZONS = (1, 2, 3, 5, 10, 15, 30)
 BLOCKS = {
     "shock": ["ret_tod_tail_1m", "resid_tod_tail_1m", "resid_tod_tail_2m", "resid_tod_tail_3m", "resid_tod_tail_5m", "ret_tod_robz_1m", "resid_tod_robz_1m", "resid_prevol_norm_1m", "resid_prevol_norm_2m", "shock_accel_1m", "shock_excess_1pct", "idio_share_1m", "body_ret_1m", "gap_ret_1m", "body_share_1m", "clv_signed_1m", "dir_close_extreme_1m", "last1_abs_share_3m", "last1_abs_share_5m", "path_eff_3m", "path_eff_5m", "path_eff_10m", "same_sign_streak_1m", "sign_switch_rate_5m", "tail_event_count_5m", "tail_event_count_15m"],
     "liquidity": ["range_tod_tail_1m", "volume_tod_tail_1m", "dollar_volume_tod_tail_1m", "trade_count_tod_tail_1m", "avg_trade_size_tod_tail_1m", "dollar_per_trade_tod_tail_1m", "impact_per_dollar_1m", "impact_tod_tail_1m", "range_per_dollar_1m", "effort_result_1m", "volume_return_mismatch_1m", "trade_intensity_mismatch_1m", "prevol_tod_tail_30m", "liquidity_rank_20d", "signed_dollar_pressure_1m", "signed_volume_pressure_1m", "vwap_close_location_1m", "vwap_bar_location_1m", "vwap_pressure_1m", "upper_rejection_pressure_1m", "lower_rejection_pressure_1m", "wick_skew_pressure_1m", "pressure_return_divergence_1m", "absorption_score_1m"],
@@ -138,3 +143,5 @@ BLOCKS = {
     "session": ["dist_session_vwap", "dist_session_open", "dist_prior_close", "dist_session_high", "dist_session_low", "session_range_expansion_tod", "same_minute_resid_lag1d", "same_minute_resid_mean5d", "same_minute_resid_mean20d", "same_minute_rank_mean20d", "prevol_ratio_5_30", "range_ratio_5_30", "dollar_volume_ratio_5_30", "squeeze_score_5_30", "breakout_dist_high_5m", "breakout_dist_low_5m", "breakout_dist_high_15m", "breakout_dist_low_15m", "dist_orh_5m", "dist_orl_5m", "vwap_cross_age_signed", "breakout_age_signed_15m", "minutes_since_tail_event", "post_shock_recovery_1m", "post_shock_recovery_3m", "shock_cluster_score_15m", "vol_accel_1_5"],
     "targets": [f"fwd_raw_{h}m" for h in HORIZONS] + [f"fwd_beta_resid_{h}m" for h in HORIZONS] + [f"step_raw_p{h}" for h in range(1, 6)],
 }
+#: The targets that need the session's factor model, and the pack's columns that are projected for them.
+FACTOR_TARGETS = {f"fwd_factor_resid_{h}m": f"fwd_raw_{h}m" for h in HORIZONS} | {f"step_factor_resid_p{h}": f"step_raw_p{h}" for h in range(1, 6)}

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import register
 from tidemark.functions.sqltext import CHECK, SPARK, Sql
-from tidemark.operators.clock import BLOCKS, Pack
+from tidemark.operators.clock import BLOCKS, FACTOR_TARGETS, Pack
 from tidemark.plans import staged
 from tidemark.sources.tables import table
 
 #: Days of 24 hours in these tables: the lengths of 30 minutes, 20 sessions and 15 minutes are cut to what they hold.
 SHORT = {"n30": 10, "n20": 8, "n15": 7}
+#: Horizons of the queries with SQL; that of 30 minutes is in clock_factor_targets.
+WITHIN = (1, 2, 3, 5, 10, 15)
 COLUMNS = {block: [x.replace("breakout_dist_high_15m", "breakout_dist_high_7m").replace("breakout_dist_low_15m", "breakout_dist_low_7m") for x in names] for block, names in BLOCKS.items()}
+COLUMNS["targets"] = [x for x in BLOCKS["targets"] if not x.endswith("_30m")]
 KEYS = ["security_id", "session_no", "minute"]
 
 GRID = """SELECT s.security_id, d.session_no, m.minute, e.open, e.high, e.low, e.close, e.volume, e.vwap, e.trade_count, avg(e.close) OVER (PARTITION BY d.session_no, m.minute) AS market,
@@ -39,7 +42,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stages(q: Sql) -> list[dict[str, str]]:
-    return Pack(q, hist=8, beta_sessions=6, beta_least=40, **SHORT).stages()
+    return Pack(q, hist=8, beta_sessions=6, beta_least=40, **SHORT, horizons=WITHIN).stages()
 
 
 def pack(spark: SparkSession, sf_dir: str, block: str) -> DataFrame:
@@ -53,7 +56,7 @@ for _block in BLOCKS:
 def _pair_stages(q: Sql) -> list[dict[str, str]]:
     from tidemark.operators.pairs import section
 
-    p = Pack(q, hist=8, beta_sessions=6, beta_least=40, **SHORT)
+    p = Pack(q, hist=8, beta_sessions=6, beta_least=40, **SHORT, horizons=WITHIN)
     legs = ["resid_tod_tail_1m", *section("path")]
     bins = {f"b_{x}": f"CASE WHEN q_{x} IS NOT NULL THEN CAST(least(floor(q_{x} * 3e0), 2) AS INTEGER) END" for x in legs}
     return [*p.stages(), {f"past_{x}": p.past(x) for x in legs}, {f"q_{x}": f"({p.tail(x)} + 1e0) / 2e0" for x in legs}, bins]
@@ -76,3 +79,14 @@ def clock_pair_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.explode(F.array(*(F.struct(F.lit(b).alias("second"), (F.col("b_resid_tod_tail_1m") * 3 + F.col(f"b_{b}")).cast("int").alias("cell")) for b in section("path"))))
     long = wide.select(rows.alias("x"), F.col("fwd_raw_1m").alias("y")).select("x.*", "y").where("cell IS NOT NULL AND y IS NOT NULL")
     return long.groupBy("second", "cell").agg(F.count("*").alias("n"), (F.round(F.avg("y"), 6) + F.lit(0.0)).alias("mean"), F.round(F.stddev_samp("y"), 6).alias("sd"))
+
+
+@register("clock_factor_targets")
+def clock_factor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: the targets of 30 minutes and those residualised with the session's frozen loadings, which complete clock_targets to 31."""
+    from tidemark.operators.factors import factor_block
+
+    g = staged.apply(grid(spark, sf_dir), Pack(SPARK, hist=8, beta_sessions=6, beta_least=40, **SHORT).target_stages())
+    own = g.select(*KEYS, *(F.col(x) for x in BLOCKS["targets"] if x.endswith("_30m")))
+    factor = factor_block(g, sessions=8, k=2, peers=3, project=FACTOR_TARGETS).select(*KEYS, *FACTOR_TARGETS)
+    return own.join(factor, KEYS, "left").selectExpr(*staged.outputs(KEYS, [*own.columns[3:], *FACTOR_TARGETS], SPARK))
