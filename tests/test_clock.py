@@ -79,3 +79,31 @@ def test_factor_targets_query(spark):
 
     df = catalog.queries()["clock_factor_targets"](spark, "/root/testdata/sf0.01")
     assert len(df.columns) == 3 + 14 and df.where("fwd_factor_resid_1m IS NOT NULL AND step_factor_resid_p1 IS NOT NULL").count() > 100
+
+
+def test_peer_block_has_every_listed_feature(spark, bars):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.factors import peer_block
+
+    pack = Pack(SPARK, hist=3, beta_sessions=2, beta_least=20)
+    grid = staged.apply(spark.createDataFrame(bars.query("session_no < 7")), pack.liquidity_stages())
+    b = peer_block(grid, pack, 3, 1, 1).toPandas().sort_values(["security_id", "session_no", "minute"]).reset_index(drop=True)
+    u = b.groupby(["security_id", "minute"])["factor_resid_1m"]
+    want = sum(np.sign(b["factor_resid_1m"] - u.shift(k)) for k in (1, 2, 3)) / 3
+    equal(b["factor_resid_tod_tail_1m"], want)
+    # with one peer its weight is 1: the peer is known by its basket, +-u of another security
+    wide = {c: b.pivot(index=["session_no", "minute"], columns="security_id", values=c) for c in b.columns[3:]}
+    liquid = grid.select("session_no", "minute", "security_id", "liquidity_rank_20d").toPandas().pivot(index=["session_no", "minute"], columns="security_id", values="liquidity_rank_20d").reindex(wide["peer_gap_2m"].index)
+    seen = 0
+    for d in (5, 6):
+        for i in range(3):
+            get = lambda c, j=i, d=d: wide[c].loc[d][j].to_numpy()
+            j, sign = next((j, s) for j in range(3) if j != i for s in (1, -1) if np.allclose(get("peer_basket_resid_1m")[1:], s * get("factor_resid_1m", j)[1:]))
+            np.testing.assert_allclose(get("peer_gap_2m")[2:], (sign * get("factor_resid_2m", j) - get("factor_resid_2m"))[2:], atol=1e-12)
+            np.testing.assert_allclose(get("leader_liquidity_advantage"), (liquid.loc[d][j] - liquid.loc[d][i]).to_numpy())
+            shock = get("factor_resid_tod_tail_1m", j) * np.sign(get("peer_lead_pred_1m")) >= 0.98
+            np.testing.assert_allclose(get("peer_shock_breadth_1m")[1:], shock[1:].astype(float))
+            assert np.isnan(get("peer_lead_pred_2m")[0]) and np.isfinite(get("peer_lead_pred_2m")[1:]).all()
+            seen += shock.sum()
+    assert seen

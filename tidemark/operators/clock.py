@@ -121,6 +121,11 @@ class Pack:
         s1, s2, s3, *_, s14, s15 = self.stages()
         return [s1, s2, s3, s14, s15]
 
+    def liquidity_stages(self) -> list[dict[str, str]]:
+        """The stages that the liquidity rank needs; they give r_1 and r_2 too."""
+        made = self.stages()
+        return [*made[:2], {"liquidity_rank_20d": made[9]["liquidity_rank_20d"]}]
+
     def last_known(self, x: str) -> str:
         w = self.q.over(None, 0, IN, "minute")
         return f"last_value({x}, true) {w}" if self.q.spark else f"last_value({x} IGNORE NULLS) {w}"

@@ -9,6 +9,8 @@ from tidemark.catalog import register
 from tidemark.operators import execution as X
 from tidemark.operators import forensics as R
 from tidemark.operators import panel as P
+from tidemark.functions.sqltext import SPARK
+from tidemark.plans import staged
 from tidemark.plans.clock_queries import grid
 from tidemark.plans.panel_queries import _T, r6s
 from tidemark.plans.surface_queries import r6
@@ -257,11 +259,12 @@ def event_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("factor_peer_block")
 def factor_peer_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L 71-90: factor residuals and peer features of a session, fitted on prior sessions; checked against a direct computation in the tests."""
-    from tidemark.operators.factors import factor_block
+    from tidemark.operators.clock import Pack
+    from tidemark.operators.factors import peer_block
+    from tidemark.plans.clock_queries import SHORT
 
-    w = Window.partitionBy("security_id", "session_no").orderBy("minute")
-    g = grid(spark, sf_dir).select("security_id", "session_no", "minute", (F.col("close") / F.lag("close").over(w) - 1).alias("r_1"), (F.col("close") / F.lag("close", 2).over(w) - 1).alias("r_2"))
-    return factor_block(g, sessions=8, k=2, peers=3)
+    pack = Pack(SPARK, hist=8, beta_sessions=6, beta_least=40, **SHORT)
+    return peer_block(staged.apply(grid(spark, sf_dir), pack.liquidity_stages()), pack, sessions=8, k=2, peers=3)
 
 
 @register("subgroup_query", "SELECT CAST(least(floor(k * 5), 4) AS INTEGER) AS cell, count(*) AS n, round(avg(y), 4) AS mean FROM (SELECT value AS y, CAST(ts AS DATE) AS d, (rank() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value) + (count(*) OVER (PARTITION BY CAST(ts AS DATE), value) - 1) / 2e0) / count(*) OVER (PARTITION BY CAST(ts AS DATE)) AS k FROM events WHERE event_type IN ('click', 'purchase')) GROUP BY 1 HAVING cell > 0 ORDER BY cell LIMIT 3")
