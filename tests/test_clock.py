@@ -107,3 +107,28 @@ def test_peer_block_has_every_listed_feature(spark, bars):
             assert np.isnan(get("peer_lead_pred_2m")[0]) and np.isfinite(get("peer_lead_pred_2m")[1:]).all()
             seen += shock.sum()
     assert seen
+
+
+def test_every_listed_surface(spark):
+    from tidemark.operators import pairs
+
+    found = pairs.surfaces()
+    assert len({x[0] for x in found}) == len(found) == 6210 - 3 * 117  # all of the survey's but its single variables
+    rng = np.random.default_rng(2)
+    q = pd.DataFrame({f"q_{x}": rng.integers(0, 201, 150) / 200 for x in pairs.legs()})
+    q[q.columns[::3]] = q[q.columns[::3]].mask(rng.random((150, len(q.columns[::3]))) < 0.2)
+    q["y"], q["z"] = rng.normal(size=150), np.where(rng.random(150) < 0.3, np.nan, rng.normal(size=150))
+    frame = spark.createDataFrame(q.astype(object).where(q.notna(), None), ", ".join(f"{c} double" for c in q.columns))
+    got = {(r.surface, r.cell, r.target): (r.n, r.mean) for r in pairs.scan(frame, ["y", "z"]).collect()}
+    want = {}
+    for name, a, b, bins, lo, hi in found:
+        x = q[f"q_{a}"]
+        ok = x.notna() & (x >= lo if lo is not None else True) & (x <= hi if hi is not None else True)
+        code = lambda v, bins=bins: np.minimum(np.floor(v * bins), bins - 1)
+        cell = (code(x) * bins if lo is None and hi is None else 0 * x) + (code(q[f"q_{b}"]) if b else 0)
+        ok &= cell.notna()
+        for t in ("y", "z"):
+            g = q.loc[ok & q[t].notna(), t].groupby(cell[ok].astype(int))
+            want |= {(name, c, t): (int(n), m) for c, n, m in zip(g.count().index, g.count(), g.mean())}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-12) for k in want)

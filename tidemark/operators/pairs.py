@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 # Each shock leg meets every second leg of four sections.
 SHOCK_LEGS = ["resid_tod_tail_1m", "factor_resid_tod_tail_1m", "resid_prevol_norm_1m", "shock_excess_1pct"]
 SECOND_LEGS = """
@@ -95,6 +100,10 @@ liquidity_rank_20d: dollar_per_trade_tod_tail_1m
 # Variables and percentages of the tail surfaces.
 TAIL_LEGS = ["resid_tod_tail_1m", "factor_resid_tod_tail_1m", "resid_prevol_norm_1m", "shock_excess_1pct", "peer_gap_1m", "peer_lead_pred_1m"]
 TAIL_PERCENTS = [0.1, 0.25, 0.5, 1, 2, 5]
+# Bins of a leg of a pair, and of the second leg beside a tail.
+RESOLUTIONS, TAIL_RESOLUTIONS = (3, 5, 10), (5, 10)
+# Known only after events, hence ranked among the events that a full history holds.
+EVENT_LEGS = ["post_shock_recovery_1m", "post_shock_recovery_3m"]
 
 
 def _lines(text: str) -> list[tuple[str, list[str]]]:
@@ -113,3 +122,41 @@ def plan() -> list[tuple[str, str]]:
 
 def tails() -> list[tuple[str, float, str]]:
     return [(x, p, side) for x in TAIL_LEGS for p in TAIL_PERCENTS for side in ("lower", "upper")]
+
+
+def legs() -> list[str]:
+    """Every variable of the pair plan and the tail plan."""
+    return sorted({x for pair in plan() for x in pair} | set(TAIL_LEGS))
+
+
+def surfaces() -> list[tuple[str, str, str | None, int, float | None, float | None]]:
+    """Every surface: its name, first leg, second leg (none: the tail alone), bins, and the least or most of a tail's rank."""
+    out: list[tuple] = [(f"pair_{k}_r{r}", a, b, r, None, None) for k, (a, b) in enumerate(plan(), 1) for r in RESOLUTIONS]
+    for x, p, side in tails():
+        cut = (None, p / 100) if side == "lower" else (1 - p / 100, None)
+        out.append((f"tail_{x}_{p}_{side}", x, None, 1, *cut))
+        out += [(f"tail_{k}_{p}_{side}_r{r}", a, b, r, *cut) for k, (a, b) in enumerate(plan(), 1) if a == x for r in TAIL_RESOLUTIONS]
+    return out
+
+
+def scan(ranked: DataFrame, targets: list[str]) -> DataFrame:
+    """surface, cell, target, n, mean, sd of every surface of both plans over every target; ranked has q_<leg> in [0, 1] of all legs.
+
+    The surfaces are a table of fixed size, so each row meets them without a shuffle, and all are summed in one."""
+    spark, names = ranked.sparkSession, legs()
+    at = {x: k for k, x in enumerate(names, 1)}
+    rows = [(name, at[a], at[b] if b else None, r, lo, hi) for name, a, b, r, lo, hi in surfaces()]
+    tasks = spark.createDataFrame(rows, "surface string, a int, b int, bins int, lo double, hi double")
+    wide = ranked.select(F.array(*(F.col(f"q_{x}") for x in names)).alias("ranks"), *targets).where(reduce(lambda a, b: a | b, (F.col(t).isNotNull() for t in targets)))
+    long = wide.crossJoin(F.broadcast(tasks)).withColumn("qa", F.element_at("ranks", F.col("a"))).withColumn("qb", F.element_at("ranks", F.coalesce("b", F.lit(1))))
+    held = F.col("qa").isNotNull() & (F.col("b").isNull() | F.col("qb").isNotNull()) & F.coalesce(F.col("qa") >= F.col("lo"), F.lit(True)) & F.coalesce(F.col("qa") <= F.col("hi"), F.lit(True))
+    code = lambda q: F.least(F.floor(F.col(q) * F.col("bins")), F.col("bins") - 1)
+    tail = F.col("lo").isNotNull() | F.col("hi").isNotNull()
+    cell = F.when(tail, F.lit(0)).otherwise(code("qa") * F.col("bins")) + F.when(F.col("b").isNull(), F.lit(0)).otherwise(code("qb"))
+    long = long.where(held).select("surface", cell.cast("int").alias("cell"), *targets)
+
+    def sums(t: str) -> Column:
+        return F.struct(F.lit(t).alias("target"), F.count(t).alias("n"), F.avg(t).alias("mean"), F.stddev_samp(t).alias("sd"))
+
+    found = long.groupBy("surface", "cell").agg(F.array(*map(sums, targets)).alias("x")).select("surface", "cell", F.explode("x").alias("x"))
+    return found.select("surface", "cell", "x.*").where("n > 0")

@@ -90,3 +90,33 @@ def clock_factor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = g.select(*KEYS, *(F.col(x) for x in BLOCKS["targets"] if x.endswith("_30m")))
     factor = factor_block(g, sessions=8, k=2, peers=3, project=FACTOR_TARGETS).select(*KEYS, *FACTOR_TARGETS)
     return own.join(factor, KEYS, "left").selectExpr(*staged.outputs(KEYS, [*own.columns[3:], *FACTOR_TARGETS], SPARK))
+
+
+def ranked(g: DataFrame, pack: Pack, **model: int) -> tuple[DataFrame, list[str]]:
+    """Of each row of the grid, q_<leg>, its same-clock rank of every leg of the plans, and all targets; and the targets' names."""
+    from tidemark.operators.factors import peer_block
+    from tidemark.operators.pairs import EVENT_LEGS, legs
+
+    wide = staged.apply(g, pack.stages())
+    if pack.n15 != 15:  # the plans name the leg for its full length
+        wide = wide.withColumnsRenamed({f"breakout_dist_{side}_{pack.n15}m": f"breakout_dist_{side}_15m" for side in ("high", "low")})
+    raw = [x for x in BLOCKS["targets"] if x in wide.columns]
+    project = {name: x for name, x in FACTOR_TARGETS.items() if x in raw}
+    block = peer_block(wide.select(*KEYS, "r_1", "r_2", "liquidity_rank_20d", *raw), pack, project=project, **model)
+    own = [x for x in legs() if x not in block.columns]
+    both = wide.select(*KEYS, *own, *raw).join(block.select(*KEYS, *(x for x in legs() if x in block.columns), *project), KEYS, "left")
+    w = pack.q.over(pack.h, 1, "security_id, minute", "session_no")
+    seen = lambda x: f"CASE WHEN count(*) {w} = {pack.h} AND count({x}) {w} >= 1 THEN collect_list({x}) {w} END"
+    past = {f"past_{x}": seen(x) if x in EVENT_LEGS else pack.past(x) for x in legs()}
+    rank = lambda x: f"CASE WHEN {x} IS NOT NULL AND past_{x} IS NOT NULL THEN (size(filter(past_{x}, p -> p < {x})) + 0.5e0 * size(filter(past_{x}, p -> p = {x}))) / size(past_{x}) END"
+    targets = [*raw, *project]
+    return staged.apply(both, [past, {f"q_{x}": rank(x) for x in legs()}]).select(*KEYS, *(f"q_{x}" for x in legs()), *targets), targets
+
+
+@register("clock_plan_surfaces")
+def clock_plan_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L scan, B.2, B.3: every listed pair at 3, 5 and 10 bins and every tail surface, over all 31 targets."""
+    from tidemark.operators.pairs import scan
+
+    q, targets = ranked(grid(spark, sf_dir), Pack(SPARK, hist=8, beta_sessions=6, beta_least=40, **SHORT), sessions=8, k=2, peers=3)
+    return scan(q, targets)
