@@ -37,3 +37,15 @@ def test_triggers_cover_what_can_win():
     left = [np.array(w) for x, w in weights.items() if x and not set(re.split(" ", x)) & set(licenses.triggers())]
     bias = np.array(weights[""])
     assert (bias[:-1] - bias[-1] + sum(np.maximum(w[:-1] - w[-1], 0) for w in left) < 0).all()
+
+
+def test_templates_confirm(spark):
+    data = [
+        (1, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"),
+        (2, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nRedistributions of source code must retain the above copyright"),
+        (3, "you may not use this file except in compliance with the License."), (4, "This Source Code Form is subject to the terms of the Mozilla Public"), (5, "This library is free software; you can redistribute it and/or"),
+        (6, "The lake with the general public and a boat of GNU goats is licensed."), (7, "Commons, creative and by the sea, 4.0 attribution license under CC"),
+    ]
+    got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 6} == {**{(1, k): ("mit", True) for k in range(3)}, **{(2, k): ("bsd", True) for k in range(3)}, (3, 0): ("apache", True), (4, 0): ("mpl", True), (5, 0): ("lgpl", True)}
+    assert not any(v[1] for k, v in got.items() if k[0] > 5)  # a name's words in any order confirm nothing

@@ -2,11 +2,12 @@
 
 A sparse (L1) multinomial logistic regression over word 1- to 3-grams tells licence families apart, with a class for
 unknown licences; its temperature is fitted on held-out training rows. It is trained on the driver from the notices
-below, a set of fixed size that does not grow with the data. Paragraphs (lines) are scored by a join with the weights
+below and pieces of the licence texts, a set of fixed size that does not grow with the data. Paragraphs (lines) are scored by a join with the weights
 (at most MODEL_FEATURES rows, hence broadcast) and sums. Left out are only paragraphs without any of the model's trigger
 words: what their n-grams could add at most is less than what the bias keeps between the unknown class and each family,
-so they are of the unknown class whatever they say (see triggers). A prediction is confirmed when the words of one of
-the family's names stand in the paragraph.
+so they are of the unknown class whatever they say (see triggers). A prediction is confirmed by the templates of its
+family: a notice with one of its names stands in the paragraph word for word, or most of the paragraph's word 3-grams
+are in one of its texts.
 
 Defined results: null and empty texts have no paragraphs and give no rows; a paragraph is reported when it has a family,
 or when it is of the unknown class and holds one of ANCHORS; a paragraph without known n-grams is of the unknown class; repeated rows give repeated results; null ids are carried; an empty table gives no rows; other columns
@@ -15,7 +16,6 @@ are never read.
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from functools import lru_cache, reduce
@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 # Licence families with names that notices use, notice patterns, and texts that claim another licence or none.
 FAMILIES = {
     "apache": ["Apache License", "Apache License, Version 2.0", "Apache 2.0", "Apache-2.0", "Apache Software License"],
@@ -49,6 +51,8 @@ NO_LICENCE = [
     "The driver's license was taken away.", "A fishing licence is required here.", "She holds a license to practise medicine.", "Copyright law is a hard subject.", "The license plate was found.",
     "The pub lost its licence last year.", "Poetic license is granted to poets.", "Copyright notices must be kept.", "They licensed the song to a film.", "A software license costs money.",
     "Sie fahren mit dem Zug und er kommt mit.", "Ein Haus mit Garten.", "Er spricht mit der Frau.", "Wir gehen mit ihm nach Hause.", "Kaffee mit Milch, bitte.", "Das Kind spielt mit einem Ball.", "Was ist mit den anderen?", "Komm mit!",
+    "Entry is free of charge for children under six.", "Permission to build the house was granted by the council.", "She made two copies of the letter and kept the other.", "They may use the garden without restriction.", "The following conditions were hard to meet.",
+    "The warranty of the car is limited to three years.", "He is not liable for the damages of the storm.", "You can obtain a copy of the map at the station.", "The library is open to any person.", "In the event of rain the match is off.", "The author published the second edition in 2001.",
     "She studied at MIT for two years.", "A cup of coffee for the new neighbours.", "He sat under the tree by the river.", "The version of the story is free for all.", "The software is available to the public.",
 ]
 #: What a claim of an unknown licence holds. Paragraphs of the unknown class without it make no claim and are not reported.
@@ -56,12 +60,37 @@ ANCHORS = ["licen", "copyright", "spdx", "rights reserved", "public domain", "gp
 #: Words that are common in any text, taken as triggers last. They bear on speed alone.
 COMMON = set("a all any be by c data file free found from has have here if in is it its last may must new not of old or other s she software source that the they this to under use version was will with work year you 1 2 3".split())
 UNKNOWN = "unknown"
-#: Most n-grams with a weight; longest n-gram; least probability of a prediction; least share of a name's words that confirms it.
-MODEL_FEATURES, LONGEST, LEAST_PROBABILITY, CONFIRM = 5_000, 3, 0.5, 1.0
+#: Most n-grams with a weight; longest n-gram; least probability of a prediction.
+MODEL_FEATURES, LONGEST, LEAST_PROBABILITY = 5_000, 3, 0.5
+#: Shingle of the template comparison in words; least share of a paragraph's shingles in the family's texts, and least number.
+SHINGLE, CONFIRM, LEAST_SHINGLES = 3, 0.8, 3
+
+
+def split(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
+
+
+def pieces(text: str) -> list[str]:
+    """Lines as a text may be wrapped to."""
+    w = split(text)
+    return [" ".join(w[at : at + n]) for n in (8, 12, 20) for at in range(0, max(len(w) - n, 0) + 4, 4)] + [" ".join(w)]
+
+
+def notices(family: str) -> str:
+    """A regular expression over words joined by blanks: a notice with one of the family's names. A name of one word alone must be all there is."""
+    found = {" ".join(split(n.format(x))) for x in FAMILIES[family] for n in NOTICES}
+    inside, whole = sorted(x for x in found if " " in x), sorted(x for x in found if " " not in x)
+    parts = ["(?:^| )(?:" + "|".join(map(re.escape, inside)) + ")(?: |$)"] if inside else []
+    return "|".join(parts + ["^(?:" + "|".join(map(re.escape, whole)) + ")$"] * bool(whole)).replace("\\ ", " ")
+
+
+def shingles_of(family: str) -> list[str]:
+    w = [split(x) for x in TEXTS.get(family, [])]
+    return sorted({" ".join(x[k : k + SHINGLE]) for x in w for k in range(len(x) - SHINGLE + 1)})
 
 
 def grams(text: str) -> set[str]:
-    w = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
+    w = split(text)
     return {" ".join(w[k : k + n]) for n in range(1, LONGEST + 1) for k in range(len(w) - n + 1)} | {""}
 
 
@@ -70,7 +99,15 @@ def trained() -> tuple[list[str], dict[str, list[float]]]:
     """Class names, and the temperature-scaled weights of each n-gram ("" is the bias)."""
     classes = [*FAMILIES, UNKNOWN]
     rows = [(grams(n.format(name)), k) for k, names in enumerate(FAMILIES.values()) for name in names for n in NOTICES]
-    rows += [(grams(n.format(x)), len(classes) - 1) for x in OTHER_NAMES for n in NOTICES] + [(grams(x), len(classes) - 1) for x in NO_LICENCE for _ in range(4)]
+    rows += [(grams(n.format(x)), len(classes) - 1) for x in OTHER_NAMES for n in NOTICES] + [(grams(x), len(classes) - 1) for x in NO_LICENCE for _ in range(8)]
+    # a line that several families' texts hold is of the first one
+    whole = {f: " | ".join(" ".join(split(x)) for x in texts) for f, texts in TEXTS.items()}
+    body = [(piece, next(f for f, x in whole.items() if piece in x)) for texts in TEXTS.values() for x in texts for piece in pieces(x)]
+    rows += [(grams(piece), classes.index(f)) for piece, f in body]
+    # the same words in any order are no licence: what tells a text is how its words follow each other
+    mixed = random.Random(6)
+    words = [x for piece, _ in body for x in piece.split()]
+    rows += [(grams(" ".join(mixed.sample(words, len(piece.split())))), len(classes) - 1) for piece, _ in body]
     rows += [(grams(n.format("")), len(classes) - 1) for n in NOTICES for _ in range(4)]
     random.Random(5).shuffle(rows)
     counts: dict[str, int] = {}
@@ -90,7 +127,7 @@ def trained() -> tuple[list[str], dict[str, list[float]]]:
         v /= np.linalg.norm(v)
     step = 2 * len(rows) / np.linalg.norm(X @ v) ** 2
     T, D = X[~held], Y[~held]
-    for _ in range(1000):  # proximal gradient
+    for _ in range(2000):  # proximal gradient
         W -= step * (T.T @ (_softmax(T @ W) - D) / len(rows))
         W = np.sign(W) * np.maximum(np.abs(W) - step * 2e-5, 0)
     scales = np.exp(np.linspace(-1, 1.5, 26))
@@ -158,11 +195,16 @@ def scan(docs: DataFrame) -> DataFrame:
     best = reduce(lambda c, k: c.when(F.col(names[k]) == F.col("top"), F.lit(classes[k])), range(len(classes) - 1), F.when(F.lit(False), F.lit(""))).otherwise(F.lit(UNKNOWN))
     s = s.withColumn("family", F.when(F.col("probability") >= LEAST_PROBABILITY, best).otherwise(F.lit(UNKNOWN))).where(F.col("claim") | (F.col("family") != UNKNOWN))
 
-    def named(name: str) -> Column:
-        w = sorted(set(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", name.lower())))
-        return F.size(F.array_intersect("words", F.array(*map(F.lit, w)))) >= math.ceil(CONFIRM * len(w))
+    own = F.array_distinct(runs(SHINGLE))
+
+    def known(family: str) -> Column:
+        """The template comparison."""
+        by_notice, shingles = F.rlike(F.array_join("words", " "), F.lit(notices(family))), shingles_of(family)
+        if not shingles:
+            return by_notice
+        return by_notice | ((F.size(own) >= LEAST_SHINGLES) & (F.size(F.array_intersect(own, F.array(*map(F.lit, shingles)))) >= CONFIRM * F.size(own)))
 
-    confirmed = reduce(lambda c, f: c.when(F.col("family") == f[0], reduce(lambda a, b: a | b, map(named, f[1]))), FAMILIES.items(), F.when(F.lit(False), F.lit(False))).otherwise(F.lit(False))
+    confirmed = reduce(lambda c, f: c.when(F.col("family") == f, known(f)), FAMILIES, F.when(F.lit(False), F.lit(False))).otherwise(F.lit(False))
     return s.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), confirmed.alias("confirmed"))
 
 
