@@ -117,7 +117,7 @@ def fam_path(q: Sql, n: int, fast: int, slow: int) -> list[dict[str, str]]:
         {"path_efficiency": q.div("abs(lp - first_lp)", "path_"), "trend_slope_t": f"CASE WHEN trend_r2 < 1e0 THEN sign(trend_slope) * sqrt(trend_r2 * {w - 2}e0 / (1e0 - trend_r2)) END", "path_chord_convexity": q.div("(lp + first_lp) / 2e0 - mean_lp", f"sd_d * sqrt({w - 1}e0)"),
          "path_quadratic_curvature": q.div(quadratic(q, w), "sd_d"), "return_acceleration_halves": f"({q.div('close', q.lag('close', h))} - 1e0) - ({q.div(q.lag('close', w - h), q.lag('close', w - 1))} - 1e0)",
          "return_acceleration_thirds": f"({q.div('close', q.lag('close', t))} - 1e0) - ({q.div(q.lag('close', w - t), q.lag('close', w - 1))} - 1e0)", "sign_persistence": q.roll("avg", "same_", n), "gross_to_net_path_ratio": q.div("abs_sum", "abs(net_sum)"),
-         "window_max_drawdown": q.bottom(q.each("prices", f"x / {q.top(q.head('prices', '{i}'))} - 1e0")), "window_max_runup": q.top(q.each("prices", f"x / {q.bottom(q.head('prices', '{i}'))} - 1e0")),
+         "window_max_drawdown": q.bottom(q.each("prices", q.div("x", q.top(q.head("prices", "{i}"))) + " - 1e0")), "window_max_runup": q.top(q.each("prices", q.div("x", q.bottom(q.head("prices", "{i}"))) + " - 1e0")),
          "close_vs_path_mean": f"(close - mean_p) / (close * sd0_d + {EPS})", "close_vs_path_median": f"(close - median_p) / (close * sd0_d + {EPS})",
          "n_runs": f"1e0 + {q.total(q.each('signs', f'CASE WHEN {{i}} > 1 AND x <> {at_before(q)} THEN 1e0 ELSE 0e0 END'))}", "longest_up_run": longest("1e0"), "longest_down_run": longest("-1e0")},
         {"sign_switch_rate": "1e0 - sign_persistence", "average_signed_run_length": "CASE WHEN signs IS NOT NULL THEN 1e0 / n_runs END"},

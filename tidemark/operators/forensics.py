@@ -30,7 +30,7 @@ def concentration(df: DataFrame, y: str, key: str) -> DataFrame:
     """Share of the signed total in the largest 1 and 5 percent of rows (ceil(n p) rows)."""
     n = df.where(F.col(y).isNotNull()).agg(F.count("*").alias("n"), F.sum(y).alias("total"))
     r = sum_before(df, y, F.lit(1), [key], falling=True).withColumn("r", F.col("before") + 1).crossJoin(F.broadcast(n))
-    part = lambda p: F.sum(F.when(F.col("r") <= F.ceil(F.col("n") * p), F.col(y))) / F.first("total")
+    part = lambda p: F.try_divide(F.sum(F.when(F.col("r") <= F.ceil(F.col("n") * p), F.col(y))), F.first("total"))
     return r.agg(part(0.01).alias("top1"), part(0.05).alias("top5"))
 
 

@@ -13,7 +13,7 @@ def rollup(bars: DataFrame, keys: list[str], order: list[str], n: int) -> DataFr
     priced = F.col("vwap").isNotNull() & (F.col("volume") > 0)
     return b.groupBy(*keys, "bucket").agg(
         F.min_by("open", "_rn").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "_rn").alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("constituent_bars"),
-        (F.sum(F.when(priced, F.col("vwap") * F.col("volume"))) / F.sum(F.when(priced, F.col("volume")))).alias("vwap"), F.sum("trade_count").alias("trade_count"),
+        F.try_divide(F.sum(F.when(priced, F.col("vwap") * F.col("volume"))), F.sum(F.when(priced, F.col("volume")))).alias("vwap"), F.sum("trade_count").alias("trade_count"),
     )
 
 
@@ -23,16 +23,16 @@ def session_metrics(ticks: DataFrame, keys: list[str], time: str, price: str, vo
     t = F.unix_micros(F.col(time).cast("timestamp")) / 60e6
     x = ticks.withColumn("_t", t).withColumn("_open", F.col("_t") - F.min("_t").over(edge)).withColumn("_close", F.max("_t").over(edge) - F.col("_t"))
     w = Window.partitionBy(*keys).orderBy("_t")
-    running = F.sum(F.col(price) * F.col(volume)).over(w) / F.sum(volume).over(w)
+    running = F.try_divide(F.sum(F.col(price) * F.col(volume)).over(w), F.sum(volume).over(w))
     x = x.withColumn("_side", F.signum(F.col(price) - running)).withColumn("_cross", F.when(F.col("_side") * F.lag("_side").over(w) < 0, 1).otherwise(0))
     x = x.withColumn("_v5", F.sum(volume).over(w.rowsBetween(-4, 0)))
     first, last = F.min_by(price, "_t"), F.max_by(price, "_t")
-    out = [first.alias("session_open"), last.alias("session_close"), F.max(price).alias("session_high"), F.min(price).alias("session_low"), F.sum(volume).alias("session_volume"), (F.sum(F.col(price) * F.col(volume)) / F.sum(volume)).alias("session_vwap"), F.sum("_cross").alias("vwap_cross_count"), F.avg((F.col("_side") > 0).cast("double")).alias("time_above_vwap"), (F.max(volume) / F.sum(volume)).alias("largest_1_share"), (F.max("_v5") / F.sum(volume)).alias("largest_5_share")]
+    out = [first.alias("session_open"), last.alias("session_close"), F.max(price).alias("session_high"), F.min(price).alias("session_low"), F.sum(volume).alias("session_volume"), F.try_divide(F.sum(F.col(price) * F.col(volume)), F.sum(volume)).alias("session_vwap"), F.sum("_cross").alias("vwap_cross_count"), F.avg((F.col("_side") > 0).cast("double")).alias("time_above_vwap"), F.try_divide(F.max(volume), F.sum(volume)).alias("largest_1_share"), F.try_divide(F.max("_v5"), F.sum(volume)).alias("largest_5_share")]
     for k in minutes:
         early, late = F.col("_open") <= k, F.col("_close") <= k
         p_open = F.max_by(F.when(early, F.col(price)), F.when(early, F.col("_t")))
         p_late = F.min_by(F.when(late, F.col(price)), F.when(late, F.col("_t")))
-        out += [(p_open / first - 1).alias(f"opening_return_{k}m"), (last / p_late - 1).alias(f"closing_return_{k}m"), ((F.max(F.when(early, F.col(price))) - F.min(F.when(early, F.col(price)))) / first).alias(f"opening_range_pct_{k}m"), (F.sum(F.when(late, F.col(volume))) / F.sum(volume)).alias(f"closing_volume_share_{k}m"), F.sum(F.when(early, F.col(volume))).alias(f"opening_volume_{k}m")]
+        out += [(F.try_divide(p_open, first) - 1).alias(f"opening_return_{k}m"), (F.try_divide(last, p_late) - 1).alias(f"closing_return_{k}m"), F.try_divide(F.max(F.when(early, F.col(price))) - F.min(F.when(early, F.col(price))), first).alias(f"opening_range_pct_{k}m"), F.try_divide(F.sum(F.when(late, F.col(volume))), F.sum(volume)).alias(f"closing_volume_share_{k}m"), F.sum(F.when(early, F.col(volume))).alias(f"opening_volume_{k}m")]
     return x.groupBy(*keys).agg(*out)
 
 
@@ -48,7 +48,7 @@ def universe(daily: DataFrame, key: str, session: str, close: Column, dollar: Co
 def split_consistent(bars: DataFrame, factors: DataFrame, keys: list[str], prices: list[str]) -> DataFrame:
     """research_* prices: price over the session's split factor (1 where there is none)."""
     x = bars.join(factors.select(*keys, "split_factor"), keys, "left")
-    return x.withColumns({f"research_{p}": F.col(p) / F.coalesce("split_factor", F.lit(1.0)) for p in prices})
+    return x.withColumns({f"research_{p}": F.try_divide(F.col(p), F.coalesce("split_factor", F.lit(1.0))) for p in prices})
 
 
 def forward_targets(bars: DataFrame, keys: list[str], order: list[str], horizons: tuple[int, ...], open_: str = "open", close: str = "close") -> DataFrame:

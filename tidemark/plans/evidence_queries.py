@@ -16,12 +16,12 @@ from tidemark.plans.panel_queries import _T, r6s
 from tidemark.plans.surface_queries import r6
 from tidemark.sources.tables import BARS_SQL, bars, table
 
-_RET = "WITH e AS (SELECT event_id, user_id, event_type, ts, value, value / lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS y FROM events)"
+_RET = "WITH e AS (SELECT event_id, user_id, event_type, ts, value, value / nullif(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) - 1 AS y FROM events)"
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").withColumn("y", F.col("value") / F.lag("value").over(w) - 1)
+    return table(spark, sf_dir, "events").withColumn("y", F.try_divide("value", F.lag("value").over(w)) - 1)
 
 
 @register("distribution_stats", _RET + " SELECT event_type, count(y) AS n, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS sd, round(avg(CASE WHEN y > 0 THEN 1e0 WHEN y IS NOT NULL THEN 0e0 END), 6) AS win_rate, round(avg(y) FILTER (WHERE y > 0), 6) AS average_win, round(avg(y) FILTER (WHERE y < 0), 6) AS average_loss, " + ", ".join(f"round(quantile_cont(y, {q}), 6) + 0e0 AS p{round(100 * q):02d}" for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + " FROM e WHERE y IS NOT NULL GROUP BY event_type")
@@ -31,7 +31,7 @@ def distribution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", "n", *r6s(*(c for c in out.columns if c not in ("event_type", "n"))))
 
 
-@register("contribution_concentration", _RET + ", r AS (SELECT y, row_number() OVER (ORDER BY y DESC, event_id) AS r, count(*) OVER () AS n, sum(y) OVER () AS t FROM e WHERE y IS NOT NULL) SELECT round(sum(y) FILTER (WHERE r <= ceil(n * 0.01e0)) / any_value(t), 6) AS top1, round(sum(y) FILTER (WHERE r <= ceil(n * 0.05e0)) / any_value(t), 6) AS top5 FROM r")
+@register("contribution_concentration", _RET + ", r AS (SELECT y, row_number() OVER (ORDER BY y DESC, event_id) AS r, count(*) OVER () AS n, sum(y) OVER () AS t FROM e WHERE y IS NOT NULL) SELECT round(sum(y) FILTER (WHERE r <= ceil(n * 0.01e0)) / nullif(any_value(t), 0), 6) AS top1, round(sum(y) FILTER (WHERE r <= ceil(n * 0.05e0)) / nullif(any_value(t), 0), 6) AS top5 FROM r")
 def contribution_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2: what the largest percent of rows holds of the total."""
     return R.concentration(returns(spark, sf_dir), "y", "event_id").select(*r6s("top1", "top5"))
@@ -53,11 +53,11 @@ def timing_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.concurrency(s, "ts", "stop").agg(F.max("open").cast("long").alias("most_open"), F.count("*").alias("moments")).crossJoin(same).select("most_open", "simultaneous", "moments")
 
 
-@register("signal_jaccard", "SELECT count(*) FILTER (WHERE l_quantity > 40 AND l_discount > 0.08) AS both, count(*) FILTER (WHERE l_quantity > 40 OR l_discount > 0.08) AS either, round(count(*) FILTER (WHERE l_quantity > 40 AND l_discount > 0.08) / count(*) FILTER (WHERE l_quantity > 40 OR l_discount > 0.08), 8) AS jaccard FROM lineitem")
+@register("signal_jaccard", "SELECT count(*) FILTER (WHERE l_quantity > 40 AND l_discount > 0.08) AS both, count(*) FILTER (WHERE l_quantity > 40 OR l_discount > 0.08) AS either, round(count(*) FILTER (WHERE l_quantity > 40 AND l_discount > 0.08) / nullif(count(*) FILTER (WHERE l_quantity > 40 OR l_discount > 0.08), 0), 8) AS jaccard FROM lineitem")
 def signal_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of two signals."""
     a, b = F.col("l_quantity") > 40, F.col("l_discount") > 0.08
-    return table(spark, sf_dir, "lineitem").agg(F.count_if(a & b).alias("both"), F.count_if(a | b).alias("either"), F.round(F.count_if(a & b) / F.count_if(a | b), 8).alias("jaccard"))
+    return table(spark, sf_dir, "lineitem").agg(F.count_if(a & b).alias("both"), F.count_if(a | b).alias("either"), F.round(F.try_divide(F.count_if(a & b), F.count_if(a | b)), 8).alias("jaccard"))
 
 
 @register("crossfit_cells", "WITH c AS (SELECT CAST(floor(l_quantity / 10.0001) AS INTEGER) AS cell, CAST(extract(year FROM l_shipdate) % 3 AS INTEGER) AS fold, count(*) AS n, sum(l_tax) AS s FROM lineitem GROUP BY ALL), t AS (SELECT a.fold, a.cell, a.n, a.s, sum(b.n) AS nt, sum(b.s) AS st FROM c a JOIN c b ON a.cell = b.cell AND b.fold <> a.fold GROUP BY ALL) SELECT fold, cell, n AS held_n, round(s / n, 8) AS held_mean, round(st / nt, 8) AS train_mean FROM t QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(st / nt, 10) DESC, cell) = 1")
@@ -81,7 +81,7 @@ def leave_out_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.agg(r6(F.avg("y"), "everything"), r6(F.avg(F.when(F.col("user_id") != F.col("best"), F.col("y"))), "without_best"), r6(F.avg(F.greatest(F.least("y", "hi"), "lo")), "winsorised"))
 
 
-@register("effect_decay", f"WITH {_T} SELECT round(corr(close, x1 / entry - 1), 5) AS corr_1, round(corr(close, x3 / entry - 1), 5) AS corr_3, count(*) AS n FROM t WHERE x3 IS NOT NULL")
+@register("effect_decay", f"WITH {_T} SELECT round(corr(close, x1 / entry - 1), 5) AS corr_1, round(corr(close, x3 / entry - 1), 5) AS corr_3, count(*) AS n FROM t WHERE x3 / entry IS NOT NULL")
 def effect_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Association with targets of growing horizon."""
     t = P.forward_targets(bars(spark, sf_dir), ["security_id"], ["session_date"], (1, 3)).where("target_3 IS NOT NULL")
@@ -238,22 +238,22 @@ def ridge_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out_of_fold(li, ["l_quantity", "l_discount", "l_tax"], "y", "fold")
 
 
-@register("specific_return", f"SELECT security_id, session_date, round((close / open - 1 - avg(close / open - 1) OVER d) / nullif(stddev_samp(close / open - 1) OVER d, 0), 5) + 0e0 AS z FROM ({BARS_SQL}) WINDOW d AS (PARTITION BY session_date)")
+@register("specific_return", f"SELECT security_id, session_date, round((close / nullif(open, 0) - 1 - avg(close / nullif(open, 0) - 1) OVER d) / nullif(stddev_samp(close / nullif(open, 0) - 1) OVER d, 0), 5) + 0e0 AS z FROM ({BARS_SQL}) WINDOW d AS (PARTITION BY session_date)")
 def specific_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return against the session's cross-section, in deviations."""
     d = Window.partitionBy("session_date")
-    r = F.col("close") / F.col("open") - 1
+    r = F.try_divide("close", "open") - 1
     return bars(spark, sf_dir).select("security_id", "session_date", (F.round((r - F.avg(r).over(d)) / F.nullif(F.stddev_samp(r).over(d), F.lit(0.0)), 5) + F.lit(0.0)).alias("z"))
 
 
-@register("event_path", "WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT CAST(b.rn - a.rn AS BIGINT) AS step, count(*) AS n, round(avg(b.value / a.value - 1), 6) AS mean FROM e a JOIN e b ON a.user_id = b.user_id AND b.rn - a.rn BETWEEN -2 AND 3 WHERE a.event_type = 'purchase' GROUP BY ALL")
+@register("event_path", "WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT CAST(b.rn - a.rn AS BIGINT) AS step, count(*) AS n, round(avg(b.value / nullif(a.value, 0) - 1), 6) AS mean FROM e a JOIN e b ON a.user_id = b.user_id AND b.rn - a.rn BETWEEN -2 AND 3 WHERE a.event_type = 'purchase' GROUP BY ALL")
 def event_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean path around events, from one window of each row."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     steps = range(-2, 4)
     e = table(spark, sf_dir, "events").select("event_type", "value", *((F.lead("value", k) if k > 0 else F.lag("value", -k) if k < 0 else F.col("value")).over(w).alias(f"v{k + 2}") if k else F.col("value").alias("v2") for k in steps)).where("event_type = 'purchase'")
     long = e.select("value", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("step"), F.col(f"v{k + 2}").alias("v")) for k in steps))).alias("x")).where("x.v IS NOT NULL")
-    return long.groupBy("x.step").agg(F.count("*").alias("n"), r6(F.avg(F.col("x.v") / F.col("value") - 1), "mean"))
+    return long.groupBy("x.step").agg(F.count("*").alias("n"), r6(F.avg(F.try_divide("x.v", "value") - 1), "mean"))
 
 
 @register("factor_peer_block")

@@ -158,12 +158,12 @@ def delay_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.col("id").alias("event_id"), "delay").agg(F.min_by("value", "ts").alias("price"))
 
 
-@register("offset_self_join", "WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT a.event_id, b.event_id AS exit_id, round(b.value / a.value - 1, 6) + 0e0 AS ret FROM e a JOIN e b ON a.user_id = b.user_id AND b.rn = a.rn + 3")
+@register("offset_self_join", "WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT a.event_id, b.event_id AS exit_id, round(b.value / nullif(a.value, 0) - 1, 6) + 0e0 AS ret FROM e a JOIN e b ON a.user_id = b.user_id AND b.rn = a.rn + 3")
 def offset_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row three further on, without a self-join."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select("event_id", "value", F.lead("event_id", 3).over(w).alias("exit_id"), F.lead("value", 3).over(w).alias("x"))
-    return e.where("exit_id IS NOT NULL").select("event_id", "exit_id", r6(F.col("x") / F.col("value") - 1, "ret"))
+    return e.where("exit_id IS NOT NULL").select("event_id", "exit_id", r6(F.try_divide("x", "value") - 1, "ret"))
 
 
 @register("coverage_semi_join", "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_shipdate <= o.o_orderdate + INTERVAL 10 DAY AND l.l_shipdate >= o.o_orderdate)")
@@ -217,13 +217,13 @@ def own_history_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", r6(F.size(F.filter("prior", lambda x: x <= F.col("value"))) / 20, "own_percentile"))
 
 
-@register("running_and_top_share", "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), j AS (SELECT a.event_id, a.user_id, a.rn, b.value FROM e a JOIN e b ON a.user_id = b.user_id AND b.rn BETWEEN a.rn - 9 AND a.rn WHERE a.rn >= 10), k AS (SELECT event_id, value, row_number() OVER (PARTITION BY event_id ORDER BY value DESC) AS o FROM j) SELECT event_id, round(sum(value) FILTER (WHERE o <= 3) / sum(value), 6) AS top3_share FROM k GROUP BY event_id")
+@register("running_and_top_share", "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), j AS (SELECT a.event_id, a.user_id, a.rn, b.value FROM e a JOIN e b ON a.user_id = b.user_id AND b.rn BETWEEN a.rn - 9 AND a.rn WHERE a.rn >= 10), k AS (SELECT event_id, value, row_number() OVER (PARTITION BY event_id ORDER BY value DESC) AS o FROM j) SELECT event_id, round(sum(value) FILTER (WHERE o <= 3) / nullif(sum(value), 0), 6) AS top3_share FROM k GROUP BY event_id")
 def running_and_top_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the three largest of the last ten values."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
     e = table(spark, sf_dir, "events").withColumn("x", F.collect_list("value").over(w)).where(F.size("x") == 10)
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    return e.select("event_id", r6(add(F.slice(F.sort_array("x", asc=False), 1, 3)) / add(F.col("x")), "top3_share"))
+    return e.select("event_id", r6(F.try_divide(add(F.slice(F.sort_array("x", asc=False), 1, 3)), add(F.col("x"))), "top3_share"))
 
 
 @register("poisoned_running_max", "SELECT event_id, CASE WHEN count(*) FILTER (WHERE value < 3) OVER w = 0 THEN round(max(value) OVER w, 6) END AS running_high FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
