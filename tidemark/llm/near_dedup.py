@@ -1,11 +1,12 @@
 """Near-duplicate groups by MinHash with sequential Bayesian verification.
 
-Texts with equal shingle sets are one class; a class is worked on once. Signatures are cut into bands; classes that
+Texts with equal shingle sets are one class, whose key is the first row that holds one of them; a class is worked on
+once, and classes are mapped to documents only at the end. Signatures are cut into bands; classes that
 share a band are candidates. Candidates are compared by batches of their signatures: a pair is pruned when the
 posterior probability that its similarity reaches the threshold falls below the chosen miss probability. Survivors are
 verified on their full shingle sets. No bucket emits all its pairs:
 
-1. each class against its bucket's smallest id, which joins most of a group of copies at one pair a member;
+1. each class against its bucket's smallest class, which joins most of a group of copies at one pair a member;
 2. in buckets whose members are still of different components, every pair of different components that the posterior
    does not prune, verified where the bucket's texts are: only pairs that join two components leave the task, and
    members that a task has joined are not compared again. A pair is looked at in the first band that it shares.
@@ -13,9 +14,10 @@ verified on their full shingle sets. No bucket emits all its pairs:
 No link between different components goes untested. Large buckets are worked on in pairs of blocks of members.
 
 Defined results: null or empty texts, or texts without words, have no shingles and are linked with nothing; fewer words
-than a shingle make one shingle; rows with the same id are one document when their texts are equal and are linked by id
-otherwise; a null id is a document of its own with null component; an empty table gives no rows; other columns are
-never read.
+than a shingle make one shingle; rows with the same id are one document, and link the classes of all its texts; rows
+with a null id are one document where their texts are equal, take part in the search, and their component is the
+smallest id of their group, or null where none has one (then the document of the group's smallest class stays); an
+empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -79,15 +81,15 @@ def survivors(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> tuple[np.ndarr
 
 
 def _sketch(words: int):
-    def row(doc_id, text):
+    def row(doc_id, text, text_hash):
         sh = shingles(text, words)
         if not len(sh):
-            return (doc_id, 0, None, None, None)
+            return (doc_id, text_hash, 0, None, None, None)
         sig = signature(sh)
         bands = mix(sig.reshape(-1, ROWS) * np.uint64(0xFF51AFD7ED558CCD) + np.arange(ROWS, dtype=np.uint64))
         keys = mix(bands.sum(axis=1, dtype=np.uint64) + np.arange(len(bands), dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
         same = np.array([mix(sh).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(sh + np.uint64(len(sh))))], np.uint64).tobytes()
-        return (doc_id, len(sh), same, (sig >> np.uint64(48)).astype(np.uint16).tobytes(), keys.view(np.int64))
+        return (doc_id, text_hash, len(sh), same, (sig >> np.uint64(48)).astype(np.uint16).tobytes(), keys.view(np.int64))
 
     return row
 
@@ -224,16 +226,18 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs. Documents are linked when 100 * intersection >= percent * union of their sets of words-word shingles."""
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64) of every row of docs. Documents are linked when 100 * intersection >= percent * union of their sets of words-word shingles."""
     spark = docs.sparkSession
     ship(spark)
-    docs = texts(docs)
-    sketch = written(spark, map_rows(docs, "doc_id long, n long, same binary, sig binary, bands array<long>", lambda: _sketch(words)), "sketch")
-    full = sketch.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("same").agg(F.min("doc_id").alias("id"))
-    # one id may carry several texts: the class of each
-    member = written(spark, full.select("doc_id", "same").distinct().join(classes, "same").select("doc_id", "id"), "members")
-    reps = full.join(member.where("doc_id = id").select("doc_id").distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    docs = texts(docs, "text", "doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    schema = "doc_id long, text_hash long, n long, same binary, sig binary, bands array<long>"
+    sketch = written(spark, map_rows(docs, schema, lambda: _sketch(words)).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    full = sketch.where("n > 0")
+    # a class: its key (the first row), the smallest document that holds it, the text that stands for it
+    first = F.min(F.struct("row", "text_hash"))
+    classes = full.groupBy("same").agg(first.alias("x"), F.min("doc_id").alias("least_doc")).select("same", F.col("x.row").alias("id"), F.col("x.text_hash").alias("first_hash"), "least_doc")
+    member = written(spark, full.select("doc_id", "text_hash", "same").distinct().join(classes, "same").select("doc_id", "text_hash", "id", "first_hash", "least_doc"), "members")
+    reps = full.join(classes.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "doc_id", "text_hash", "n", "sig", "bands")
     reps = written(spark, reps, "classes")
     rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = written(spark, rows.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1"), "buckets")
@@ -241,10 +245,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sig = reps.select("id", "sig", "n")
 
     def texts_of(ids: DataFrame, name: str) -> DataFrame:
-        """(id, text) of the given ids; few ids go to the texts, many texts come to the ids."""
-        need = written(spark, ids.select(F.col("id").alias("doc_id")).distinct(), f"{name}-ids")
+        """(id, text) of the given classes: the text of the document that stands for each. Few ids go to the texts, many texts come to the ids."""
+        need = written(spark, reps.join(ids.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("rep_doc"), F.col("text_hash").alias("rep_hash")), f"{name}-ids")
         need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-        return written(spark, docs.join(need, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")), f"{name}-texts")
+        found = docs.join(need, (docs.text_hash == need.rep_hash) & docs.doc_id.eqNullSafe(need.rep_doc))
+        return written(spark, found.groupBy("id").agg(F.min("text").alias("text")), f"{name}-texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = written(spark, pairs, f"{name}-pairs")
@@ -252,14 +257,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         both = pairs.join(have.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(have.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return written(spark, map_rows(both.select("a", "b", "text_a", "text_b"), "a long, b long", lambda: _verify(words, percent)), f"{name}-links")
 
-    # 1: each class against the smallest id of its bucket
+    # 1: each class against the smallest of its bucket
     pairs = rows.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a")), "a")
     pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b")
     links = verified(pairs.mapInArrow(_Pairs(percent / 100), "a long, b long"), "lead")
-    # an id with several texts joins their classes
-    several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
-    links = links.unionByName(several.join(member, "doc_id").where("id <> a").select("a", F.col("id").alias("b")))
+    # a document with several texts joins their classes
+    several = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
+    links = links.unionByName(several.join(member, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct())
     # 2: what the buckets still hold of different components
     comp = components(links)
     now = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
@@ -272,14 +277,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = now.mapInArrow(_Buckets(words, percent, schema_of("a long, b long")), "a long, b long")
     links = links.unionByName(written(spark, found, "bucket-links"))
     comp = components(links)
-    joined = member.join(comp, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
-    # a component's id is its smallest document: the smallest id of any class in it
-    out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(joined, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept")
+    # of each class in a group: the group's smallest class and smallest document
+    linked = comp.unionByName(comp.select(F.col("component").alias("id"), "component").distinct())
+    docs_of = linked.join(classes.select("id", "least_doc"), "id").groupBy("component").agg(F.min("least_doc").alias("group_doc"))
+    linked = written(spark, linked.join(docs_of, "component"), "groups")
+    member = member.join(linked, "id", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("least_doc")).otherwise(F.col("group_doc")))
+    joined = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = sketch.where("doc_id is not null").select("doc_id", F.col("n").alias("n_shingles"), "text_hash").join(joined, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # documents without an id stand by their text; those of a group with an id never stay
+    stays = F.col("component_id").isNull() & (F.col("id") == F.coalesce("component", "id")) & (F.col("text_hash") == F.col("first_hash"))
+    nameless = member.where("doc_id is null").select("text_hash", "component_id", stays.alias("kept"))
+    nameless = sketch.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), "text_hash").join(nameless, "text_hash", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
+    return out.unionByName(nameless).select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85).drop("text_hash")
 
 
 SQL_OP10 = r"""
