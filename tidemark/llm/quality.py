@@ -2,10 +2,13 @@
 
 Lines are normalised (lower case, white space collapsed) and hashed. For each host the distinct documents that hold a
 line are counted: equal texts of a host count as one document. A line above the limit is removed from every document
-of the host but the one with the smallest id, and a document that keeps too small a share of its words is rejected.
+of the host but the one with the smallest id among all that hold it, copies included, and a document that keeps too
+small a share of its words is rejected.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; rows with the
-same id are judged each by its own text; an empty table gives no rows; other columns are never read.
+same id are judged each by its own text, and all of them hold a line first if the id does; documents without an id come
+after those with one, in the order of a hash of their texts, and equal ones are one document; an empty table gives no
+rows; other columns are never read. The order of the rows has no part in any result.
 """
 
 from __future__ import annotations
@@ -47,9 +50,9 @@ def repeated_words(words: np.ndarray, window: int = WINDOW) -> int:
 
 
 def measure(text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, text hash, hashes of the distinct normalised lines and their words."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, hashes of the distinct normalised lines and their words."""
     if not text:
-        return 0, 0, 0, 0, 0, None, [], []
+        return 0, 0, 0, 0, 0, [], []
     raw = text.encode()
     words = hashes(raw)
     kept = len(text) - sum(raw.count(bytes([c])) for c in WHITE_BYTES)
@@ -66,29 +69,32 @@ def measure(text: str | None) -> tuple:
         h = xxhash.xxh3_64_intdigest(b" ".join(parts)) - (1 << 63)
         lines[h] = lines.get(h, 0) + len(parts)
     symbols = sum(raw.count(bytes([c])) for c in SYMBOLS)
-    return len(words), kept, symbols, duplicates, repeated_words(words), xxhash.xxh3_64_intdigest(raw) - (1 << 63), list(lines), list(lines.values())
+    return len(words), kept, symbols, duplicates, repeated_words(words), list(lines), list(lines.values())
 
 
 def quality(docs: DataFrame, host_col: str = "source") -> DataFrame:
-    """doc_id, the base measures, base_failed, words_left (after common lines are removed) and kept of every row."""
+    """doc_id, the base measures, base_failed, words_left (after common lines are removed), kept, text_hash (xxhash64) and host of every row."""
     spark = docs.sparkSession
     ship(spark)
-    schema = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, same long, lines array<long>, line_words array<int>"
-    base = map_rows(texts(docs, "text", "doc_id", F.col(host_col).cast("string").alias("host")), schema, lambda: lambda doc_id, text, host: (doc_id, host, *measure(text)))
+    schema = "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+    rows = texts(docs, "text", "doc_id", F.col(host_col).cast("string").alias("host"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    base = map_rows(rows, schema, lambda: lambda doc_id, text, host, text_hash: (doc_id, host, text_hash, *measure(text)))
     base = written(spark, base.withColumn("row", F.monotonically_increasing_id()), "quality")
-    # one row of each distinct text of a host stands for its copies
-    first = base.where("same is not null").groupBy("host", "same").agg(F.min("row").alias("row"))
-    lines = base.join(first.select("row"), "row", "left_semi").select("host", "doc_id", F.explode("lines").alias("line"))
-    common = lines.groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id")).where(F.col("documents") > LINE_DOCUMENTS)
-    common = common.select(F.col("host").alias("at"), "line", "first_id")
-    of_row = base.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
-    gone = of_row.join(common, (of_row.line == common.line) & of_row.host.eqNullSafe(common["at"])).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    # one row of each distinct text of a host stands for its copies; its holder is the first of them
+    holder = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    first = base.where("n_words > 0").groupBy("host", "text_hash").agg(F.min("row").alias("row"), F.min(holder).alias("holder")).select("row", "holder")
+    lines = base.select("row", "host", "lines").join(first, "row").select("host", "holder", F.explode("lines").alias("line"))
+    common = lines.groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("holder").alias("first")).where(F.col("documents") > LINE_DOCUMENTS)
+    common = common.select(F.col("host").alias("at"), "line", "first")
+    of_row = base.select("row", "doc_id", "text_hash", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "doc_id", "text_hash", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
+    holds = F.when(F.col("doc_id").isNull(), F.col("first.nameless") & (F.col("first.text_hash") == F.col("text_hash"))).otherwise(~F.col("first.nameless") & (F.col("first.doc_id") == F.col("doc_id")))
+    gone = of_row.join(common, (of_row.line == common.line) & of_row.host.eqNullSafe(common["at"])).where(~F.coalesce(holds, F.lit(False)))
     gone = gone.groupBy("row").agg(F.sum("n").alias("gone"))
-    out = base.drop("lines", "line_words", "same").join(gone, "row", "left").withColumn("words_left", F.col("n_words") - F.coalesce("gone", F.lit(0)))
+    out = base.drop("lines", "line_words").join(gone, "row", "left").withColumn("words_left", F.col("n_words") - F.coalesce("gone", F.lit(0)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("words_left") >= LEAST_LEFT * F.col("n_words")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left", "text_hash", "host")
 
 
 def op8_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "host")
