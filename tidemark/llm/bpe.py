@@ -14,6 +14,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 import unicodedata
@@ -27,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .code_points import CodePoints, members, probe
 from .common import map_rows, once, texts, written
 
 NEVER = 1 << 60
@@ -241,31 +243,58 @@ class Lexicon:
         return None if k < 0 else tuple(self.ids[self.starts[k] : self.starts[k + 1]])
 
 
-def word_splitter(pattern: str):
-    """A function from a chunk without white space to its words by the pattern; the first two cases are its result for common chunks."""
-    findall = regex.compile(pattern).findall
+class Words:
+    """The white-space separated chunks of a text, normalised as the file says, and the words of a chunk by its pattern.
 
-    def split(chunk: str) -> list[str]:
+    Texts with code points that Python's tables do not know as the library does (see code_points) are normalised by the
+    library and split by the probed ranges.
+    """
+
+    def __init__(self, spec: dict, points: CodePoints):
+        pattern = {x["type"]: x for x in spec["pre_tokenizer"]["pretokenizers"]}["Split"]["pattern"]["Regex"]
+        self.findall, self.odd = regex.compile(pattern).findall, re.compile(f"[{members(points.odd)}]").search
+        for name, ranges in ((r"\p{L}", points.letters), (r"\p{N}", points.numbers), (r"\s", points.white)):
+            pattern = pattern.replace(name, members(ranges))
+        self.pattern, self.probed = pattern, None
+        self.spec = json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []})
+
+    def of_library(self) -> None:
+        from tokenizers import Tokenizer
+
+        self.normalise, self.probed = Tokenizer.from_str(self.spec).normalizer.normalize_str, regex.compile(self.pattern).findall
+
+    def chunks(self, text: str) -> list[str]:
+        """No word of the pattern crosses a chunk."""
+        if not text.isascii() and self.odd(text):
+            if not self.probed:
+                self.of_library()
+            return [x for x in self.normalise(text).split(" ") if x]
+        return chunks_of(text)
+
+    def split(self, chunk: str) -> list[str]:
+        """The words; the first two cases are the pattern's result for common chunks."""
         if chunk.isalpha():
             return [chunk]
         if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?|":
             return [chunk[:-1], chunk[-1]]
-        return findall(chunk)
-
-    return split
+        if not chunk.isascii() and self.odd(chunk):
+            if not self.probed:
+                self.of_library()
+            return self.probed(chunk)
+        return self.findall(chunk)
 
 
 class Codec:
     """Encodes and decodes as the vocabulary file says: NFC, lower case, words by pattern, bytes, merges within a word."""
 
-    def __init__(self, file_bytes: bytes, lexicon: bytes | None = None):
+    def __init__(self, file_bytes: bytes, lexicon: bytes | None = None, points: CodePoints | None = None):
         spec = json.loads(file_bytes)
+        self.words = Words(spec, points or probe())
+        self.split = self.words.split
         self.merges = Merges(spec["model"])
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        steps = {x["type"]: x for x in spec["pre_tokenizer"]["pretokenizers"]}
-        self.split = word_splitter(steps["Split"]["pattern"]["Regex"])
         self.tokens = [""] * (1 + max([*self.merges.vocab.values(), *self.special.values()]))
         for token, k in [*self.merges.vocab.items(), *self.special.items()]:
             self.tokens[k] = token
@@ -290,7 +319,7 @@ class Codec:
         return self.plain(text)
 
     def plain(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, chunks_of(text))))
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.words.chunks(text))))
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by a space: the file names no decoder."""
@@ -316,7 +345,7 @@ class _Memo(dict):
 
 
 def chunks_of(text: str) -> list[str]:
-    """White-space separated chunks of the normalised text; no word of the pattern crosses one."""
+    """White-space separated chunks of the normalised text, for code points that Python knows."""
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     if "Σ" in text:
@@ -330,14 +359,14 @@ def chunks_of(text: str) -> list[str]:
 class _CountWords:
     """Counts of the pattern's words, sent on whenever many are held."""
 
-    def __init__(self, file_bytes: bytes):
-        self.codec, self.held = Codec(file_bytes), Counter()
+    def __init__(self, file_bytes: bytes, points: CodePoints):
+        self.codec, self.held = Codec(file_bytes, points=points), Counter()
 
     def __call__(self, text: str | None):
         if text:
             for part in self.codec.split_special.split(text) if "<|" in text else [text]:
                 if part not in self.codec.special:
-                    self.held.update(chunks_of(part))
+                    self.held.update(self.codec.words.chunks(part))
         if len(self.held) > 300_000:
             return self.end()
         return None
@@ -357,8 +386,8 @@ def frequent_words(docs: DataFrame, file_bytes: bytes, most: int = LEXICON_WORDS
     The cutoff comes from how many words have each count, so the driver gets these counts and at most `most` words.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(file_bytes)
-    counts = map_rows(docs.select(F.col("text").cast("string").alias("text")), "word string, n long", lambda: _CountWords(sent.value))
+    sent = spark.sparkContext.broadcast((file_bytes, probe()))
+    counts = map_rows(docs.select(F.col("text").cast("string").alias("text")), "word string, n long", lambda: _CountWords(*sent.value))
     total = counts.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_COUNT) & (F.octet_length("word") <= LEXICON_BYTES))
     total = written(spark, total, "words")
     cutoff, held = LEAST_COUNT - 1, 0
@@ -407,7 +436,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, outputs: Iterable[str] = ("i
     """doc_id and the named outputs of each document; decoded comes from the ids alone."""
     sc, outputs = docs.sparkSession.sparkContext, list(outputs)
     file_bytes, lexicon = build(docs, vocab_path, most)
-    sent, name = sc.broadcast((file_bytes, lexicon)), uuid.uuid4().hex
+    sent, name = sc.broadcast((file_bytes, lexicon, probe())), uuid.uuid4().hex
 
     def start():
         codec: Codec = once(("codec", name), lambda: Codec(*sent.value))

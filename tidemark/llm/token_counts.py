@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import Merges, byte_chars
+from .code_points import CodePoints, probe
 from .common import batched, once, schema_of, ship, texts
 
 #: Character classes.
@@ -67,12 +68,12 @@ def splitter() -> tuple[np.ndarray, np.ndarray]:
     return to, mark
 
 
-def class_table() -> np.ndarray:
+def class_table(points: CodePoints) -> np.ndarray:
     """The class of every code point."""
     table = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for pattern, c in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\p{White_Space}", WHITE)):
-        table[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = c
+    for ranges, c in ((points.letters, LETTER), (points.numbers, NUMBER), (points.white, WHITE)):
+        for a, b in ranges:
+            table[a : b + 1] = c
     for chars, c in (("stmd", S), ("rv", RV), ("l", LL), ("e", E), (" ", SPACE), ("'", QUOTE)):
         for x in chars:
             table[ord(x)] = c
@@ -80,9 +81,9 @@ def class_table() -> np.ndarray:
 
 
 class Splitter:
-    def __init__(self):
+    def __init__(self, points: CodePoints | None = None):
         self.to, self.mark = splitter()
-        self.table = class_table()
+        self.table = class_table(points or probe())
 
     def state_maps(self, classes: np.ndarray) -> np.ndarray:
         """The state map of each row of classes (chunks x length): exit states by entry state."""
@@ -224,9 +225,9 @@ class _Memo(dict):
 class TokenCounter:
     """Token counts of whole texts."""
 
-    def __init__(self, file_bytes: bytes):
+    def __init__(self, file_bytes: bytes, points: CodePoints | None = None):
         spec = json.loads(file_bytes)
-        self.splitter = Splitter()
+        self.splitter = Splitter(points)
         self.memo = _Memo(Counter(Merges(spec["model"])))
         special = [x["content"] for x in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
@@ -283,10 +284,10 @@ def token_counts(docs: DataFrame, vocab_path: str) -> DataFrame:
     """doc_id, n_bytes and n_tokens of each document; the vocabulary file is of fixed size and is broadcast."""
     sc = docs.sparkSession.sparkContext
     with open(vocab_path, "rb") as f:
-        sent, name = sc.broadcast(f.read()), uuid.uuid4().hex
+        sent, name = sc.broadcast((f.read(), probe())), uuid.uuid4().hex
     ship(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_tokens long"
-    start = lambda: once(("counter", name), lambda: TokenCounter(sent.value))
+    start = lambda: once(("counter", name), lambda: TokenCounter(*sent.value))
     return texts(docs).mapInArrow(_Rows(start, schema_of(schema)), schema)
 
 

@@ -27,7 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import byte_chars, chunks_of, word_splitter
+from .bpe import Words, byte_chars
+from .code_points import CodePoints, probe
 from .common import batched, new_path, once, schema_of, ship, texts
 
 #: A null document id in an index file.
@@ -229,13 +230,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 class LibraryEncoder:
     """Texts to ids by the tokenizers library, with a memo of white-space separated chunks: the file's words never cross one.
 
-    The words of chunks that the memo lacks go to the library's model. Texts that may hold a special token's string go to
-    the library whole.
+    The words of chunks that the memo lacks go to the library's model. Texts that may hold a special token's string, or
+    that hold code points which Python's tables lack, go to the library whole.
     """
 
     MEMO = 400_000
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, points: CodePoints | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -245,8 +246,8 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.tokenize = self.library.model.tokenize
-        steps = {x["type"]: x for x in json.loads(spec)["pre_tokenizer"]["pretokenizers"]}
-        self.split, self.chars = word_splitter(steps["Split"]["pattern"]["Regex"]), byte_chars()
+        words = Words(json.loads(spec), points or probe())
+        self.chunks, self.split, self.odd, self.chars = words.chunks, words.split, words.odd, byte_chars()
         self.memo = _Chunks(self.ids_of, self.MEMO)
 
     def whole(self, text: str) -> bytes:
@@ -261,7 +262,7 @@ class LibraryEncoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         known = self.memo.__getitem__
-        return [b"" if not t else self.whole(t) if "<|" in t else b"".join(map(known, chunks_of(t))) for t in texts]
+        return [b"" if not t else self.whole(t) if "<|" in t or not t.isascii() and self.odd(t) else b"".join(map(known, self.chunks(t))) for t in texts]
 
 
 class _Chunks(dict):
@@ -285,8 +286,8 @@ class _Chunks(dict):
 def library_encoder(spark: SparkSession, vocab_path: str):
     """An encoder of the vocabulary file, which is of fixed size and is broadcast."""
     with open(vocab_path, encoding="utf-8") as f:
-        sent, name = spark.sparkContext.broadcast(f.read()), uuid.uuid4().hex
-    return lambda: once(("library", name), lambda: LibraryEncoder(sent.value))
+        sent, name = spark.sparkContext.broadcast((f.read(), probe())), uuid.uuid4().hex
+    return lambda: once(("library", name), lambda: LibraryEncoder(*sent.value))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
