@@ -1,33 +1,48 @@
-"""Mixing sources to target weights by hierarchical budgeting, in DataFrame functions.
+"""Mixing sources to target weights by hierarchical budgeting.
 
-A budget of tokens goes down a tree (domain, language, source). At each node it is dealt to the children by weight; a
-child takes no more than its subtree holds over all epochs, and what it cannot take goes to its siblings by weight.
+Documents are counted in tokens of a vocabulary file (or in words, where none is given); everything after that is
+DataFrame functions. A budget of tokens goes down a tree (domain, language, source). At each node it is dealt to the
+children by weight; a child takes no more than its subtree holds over all epochs, and what it cannot take goes to its siblings by weight.
 Only what a whole subtree cannot take stays with its parent's level, so siblings come before ancestors. Each leaf then
 takes its documents in whole seeded epochs, and a token prefix of the next epoch's order.
 
-The prefix is found without sorting a leaf in one task: tokens are summed by leaf and range of the epoch's hash; only
-the documents of the one range where the quota ends are ordered.
+The prefix is found without sorting a leaf in one task: tokens are summed by leaf and range of the epoch's hash (at most
+2 ** RANGE_BITS sums a leaf); only the documents of the one range where the quota ends are ordered.
 
 Defined results: null texts have no tokens and are taken with any whole epoch and any prefix that reaches them; null
-levels are leaves of their own; unlisted values have weight 1; documents of weight 0 or less are never taken; repeated
-rows are separate documents; an empty table gives no rows; other columns are kept aside by key only.
+levels are leaves of their own; unlisted values have weight 1; documents of weight 0 or less are never taken; rows of
+one key in a leaf are separate documents that are taken together; an empty table gives no rows; other columns are kept
+aside by key only.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import schema_of, ship, written
+from .token_files import library_encoder
 
 #: Ranges of the hash that a leaf's order is cut into: 2 ** RANGE_BITS.
 RANGE_BITS = 12
 
 
-def tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+class _Counts:
+    """Batches (key, lang, source, text): the number of ids in place of the text."""
+
+    def __init__(self, encoder, schema):
+        self.encoder, self.schema = encoder, schema
+
+    def __call__(self, batches):
+        encode = self.encoder()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n = [len(ids) // 4 for ids in encode(part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64())], schema=self.schema)
 
 
 def weight_of(level: Column, weights: dict[str, float]) -> Column:
@@ -98,12 +113,21 @@ def domain_of(source: Column) -> Column:
     return F.when(k == 0, "web").when(k == 1, "books").otherwise("forums")
 
 
-def leveled(docs: DataFrame, *more: Column | str) -> DataFrame:
-    source = F.col("source").cast("string")
-    return docs.select(*more, tokens(F.col("text").cast("string")).alias("tokens"), domain_of(source).alias("domain"), F.col("lang").cast("string").alias("lang"), source.alias("source"))
+def leveled(docs: DataFrame, key: Column, vocab_path: str | None = None) -> DataFrame:
+    """key, tokens (of the vocabulary file, or words), domain, lang, source of every row."""
+    rows = docs.select(key.cast("long").alias("key"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    if vocab_path is None:
+        words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+        return rows.select("key", words.alias("tokens"), domain_of(F.col("source")).alias("domain"), "lang", "source")
+    ship(docs.sparkSession)
+    schema = "key long, lang string, source string, tokens long"
+    counted = rows.mapInArrow(_Counts(library_encoder(docs.sparkSession, vocab_path), schema_of(schema)), schema)
+    return counted.select("key", "tokens", domain_of(F.col("source")).alias("domain"), "lang", "source")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = mix(leveled(docs, F.col("doc_id").cast("long").alias("key")), LEVELS, WEIGHTS, share=0.6)
+    out = mix(leveled(docs, F.col("doc_id"), public_tokenizers.path("word_bpe_49k.json")), LEVELS, WEIGHTS, share=0.6)
     return out.withColumnRenamed("key", "doc_id").select("doc_id", "domain", "lang", "source", "tokens", "epoch")
