@@ -2,13 +2,14 @@
 
 Training: words of labelled documents are counted by label; each word, and each prefix of a word (for stems that take
 many endings), gets the log odds of the two labels under an informative Dirichlet prior taken from all labelled words.
-Only the features whose log odds stand out (by their z score) are kept, at most MODEL_FEATURES of them; any other word
-has the log odds that all the rest have together.
+All features whose log odds stand out (by their z score) are kept; any other word has the log odds that all the rest have
+together. What calibrates scores is fitted on a quarter of the training texts (by a hash of the text), scored with
+features that were counted on the other three; then the features are counted on all of them.
 
 Scoring: one linear scan finds every maximal scoring segment of a text's words. Segment scores are calibrated as
-extreme values (their expected number in a clean text of that length, with the slope solved from the score
-distribution), the significant ones are aggregated, and two coefficients fitted on training rows turn that into the
-probability of label 1.
+extreme values: K n exp(-lambda x) segments of score x or more are expected in a clean text of n words, with lambda
+solved from the distribution of word scores and K fitted to the segments that clean texts hold. The significant ones are
+aggregated, and two fitted coefficients turn that into the probability of label 1.
 
 Defined results: null and empty texts have the score of a text without evidence; labels that are null or of unknown
 documents are not learnt from; a document with several labels counts with each; without both labels in the training
@@ -20,9 +21,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,10 @@ from .common import map_rows, ship, texts, written
 
 #: Lengths of the word prefixes that are features beside whole words.
 PREFIXES = (4, 5, 6)
-#: Strength of the Dirichlet prior (pseudo-documents, dealt to the labels by their shares), least z score and least log odds of a kept feature, most features kept, least documents of a feature.
-PRIOR, LEAST_Z, LEAST_ODDS, MODEL_FEATURES, LEAST_DOCUMENTS = 2.0, 4.0, 1.0, 20_000, 5
+#: Strength of the Dirichlet prior (pseudo-documents, dealt to the labels by their shares), least z score and least log odds of a kept feature, least documents of a feature.
+PRIOR, LEAST_Z, LEAST_ODDS, LEAST_DOCUMENTS = 2.0, 4.0, 1.0, 5
+#: One in so many training texts calibrates.
+CALIBRATION = 4
 #: Labelled rows that the model is fitted on, about, chosen by a hash of the id: a documented bound for fitting.
 TRAINING_ROWS = 40_000
 #: A segment counts when fewer than this many such are expected in a clean text of the same length.
@@ -152,15 +156,39 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model
     rows = written(spark, texts(docs).join(F.broadcast(sample), "doc_id"), "labelled")
     # equal texts teach once a label
     rows = written(spark, rows.groupBy(F.xxhash64("text").alias("same"), "label").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text")), "training")
+    calibrates = F.pmod("same", F.lit(CALIBRATION)) == 0
+    share = labelled.share or 0.0
+    constant = Model({}, {}, -1.0, 1.0, 1.0, (math.log(share / (1 - share)) if 0 < share < 1 else 40.0 * (2 * share - 1), 0.0))
+    final = log_odds(rows)
+    if final is None or share in (0.0, 1.0):
+        return constant
+    chosen, model = rows.where(calibrates).select("text", "label"), log_odds(rows.where(~calibrates))
+    if model is None or chosen.select("label").distinct().count() < 2:  # too few texts to set some apart
+        chosen, model = rows.select("text", "label"), final
+    # the score distribution of clean words gives the slope, the segments of clean texts give K; then the two coefficients
+    sent = spark.sparkContext.broadcast(model)
+    spread = map_rows(chosen.where("label = 0").select("text"), "kind int, value double, n long", lambda: _Spread(sent.value)).groupBy("kind", "value").agg(F.sum("n").alias("n")).collect()
+    values, weights = np.array([r.value for r in spread if r.kind == 0]), np.array([float(r.n) for r in spread if r.kind == 0])
+    if len(values):
+        model.lam = solve_slope(values, weights / weights.sum())
+        model.k = solve_k([(r.value, r.n) for r in spread if r.kind == 1], weights.sum(), model.lam)
+    sent = spark.sparkContext.broadcast(model)
+    evidence = map_rows(chosen, "evidence double, label int", lambda: (lambda m: lambda text, label: (m.evidence(text), label))(sent.value)).collect()
+    fit = logistic(np.log1p([r.evidence for r in evidence]), np.array([float(r.label) for r in evidence]))
+    return Model(final.words, final.prefixes, final.rest, model.lam, model.k, fit)
+
+
+def log_odds(rows: DataFrame) -> Model | None:
+    """The features that stand out in rows (text, label), not yet calibrated; None without both labels."""
+    spark = rows.sparkSession
     counts = map_rows(rows.select("text", "label"), "word string, label int, n long", _CountLabelled)
     by_word = counts.groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("word").alias("feature")), *(F.struct(F.lit(n).alias("kind"), F.when(F.length("word") > n, F.substring("word", 1, n)).alias("feature")) for n in PREFIXES))
     features = by_word.select("n1", "n0", F.explode(kinds).alias("x")).select("x.*", "n1", "n0").where("feature is not null").groupBy("kind", "feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     features = written(spark, features, "features")
     total = {r.kind: (r.n1, r.n0) for r in features.groupBy("kind").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).collect()}
-    share = labelled.share or 0.0
-    if not total or 0 in total[0] or share in (0.0, 1.0):
-        return Model({}, {}, -1.0, 1.0, 1.0, (math.log(share / (1 - share)) if 0 < share < 1 else 40.0 * (2 * share - 1), 0.0))
+    if not total or 0 in total[0]:
+        return None
     n1, n0 = map(float, total[0])
     share = n1 / (n1 + n0)
     both = F.col("n1") + F.col("n0")
@@ -168,37 +196,45 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model
     delta = F.log(a / (n1 + PRIOR - a)) - F.log(b / (n0 + PRIOR - b))
     z = (F.col("n1") - both * share) / F.sqrt(both * (share * (1 - share)))
     scored = features.where(both >= LEAST_DOCUMENTS).withColumn("delta", delta).withColumn("z", z)
-    kept = scored.where((F.abs("z") >= LEAST_Z) & (F.abs("delta") >= LEAST_ODDS)).orderBy(F.desc(F.abs("z")), "kind", "feature").limit(MODEL_FEATURES).collect()
+    kept = scored.where((F.abs("z") >= LEAST_Z) & (F.abs("delta") >= LEAST_ODDS)).collect()  # from TRAINING_ROWS texts at most
     words = {r.feature: r.delta for r in kept if r.kind == 0}
     prefixes = {r.feature: r.delta for r in kept if r.kind and r.delta > 0}
     rest = min(-0.02, math.log((n1 - sum(r.n1 for r in kept if r.kind == 0) + 1) / n1) - math.log((n0 - sum(r.n0 for r in kept if r.kind == 0) + 1) / n0))
-    model = Model(words, prefixes, rest, 1.0, 1.0, (0.0, 1.0))
-    # the score distribution of clean training words gives the slope; then the calibration
-    chosen = rows.select("text", "label")
-    sent = spark.sparkContext.broadcast(model)
-    spread = map_rows(chosen.where("label = 0").select("text"), "value double, n long", lambda: _Spread(sent.value)).groupBy("value").agg(F.sum("n").alias("n")).collect()
-    values, weights = np.array([r.value for r in spread]), np.array([float(r.n) for r in spread])
-    if len(values):
-        model.lam = solve_slope(values, weights / weights.sum())
-    sent = spark.sparkContext.broadcast(model)
-    evidence = map_rows(chosen, "evidence double, label int", lambda: (lambda m: lambda text, label: (m.evidence(text), label))(sent.value)).collect()
-    model.fit = logistic(np.log1p([r.evidence for r in evidence]), np.array([float(r.label) for r in evidence]))
-    return model
+    return Model(words, prefixes, rest, 1.0, 1.0, (0.0, 1.0))
+
+
+def solve_k(segments: list[tuple[float, int]], words: float, lam: float) -> float:
+    """K of the extreme-value law from the segments (score, number) of clean texts with so many words in all.
+
+    Above any score, segments are a Poisson count of mean K words exp(-lam score); the estimate is taken where the
+    highest tenth of the segments begins, as the law holds for high scores. Without segments K is that of half a one."""
+    ranked = sorted(segments, reverse=True)
+    total = sum(n for _, n in ranked)
+    if not total or not words:
+        return 1.0 if not words else min(1.0, 0.5 / words)
+    held = 0
+    for score, n in ranked:
+        held += n
+        if held * 10 >= total:
+            return min(max(held / words * math.exp(min(lam * score, 700.0)), 1e-12), 1e12)
+    return 1.0
 
 
 class _Spread:
-    """How often each word score stands in the texts."""
+    """How often each word score (kind 0) and each segment score (kind 1) stands in the texts, to two decimals."""
 
     def __init__(self, model: Model):
         self.model, self.held = model, Counter()
 
     def __call__(self, text):
-        values, n = np.unique(np.round(self.model.scores(words_of(text)), 2), return_counts=True)
-        for v, k in zip(values.tolist(), n.tolist()):
-            self.held[v] += k
+        scores = self.model.scores(words_of(text))
+        for kind, found in ((0, scores), (1, np.array([x for _, _, x in maximal_segments(scores)]))):
+            values, n = np.unique(np.round(found, 2), return_counts=True)
+            for v, k in zip(values.tolist(), n.tolist()):
+                self.held[kind, v] += k
 
     def end(self):
-        return iter(self.held.items())
+        return iter([(kind, v, n) for (kind, v), n in self.held.items()])
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -218,7 +254,7 @@ def score(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
     """docs with the columns score and n_toxic_passages of each row's text, and the passages (first word, end, score, expected) if asked for. Its own column names win."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(model)  # bounded by MODEL_FEATURES
+    sent = spark.sparkContext.broadcast(model)  # bounded by the features of TRAINING_ROWS texts
     schema = "doc_id long, score double, n_toxic_passages int, passages array<struct<first:int,end:int,score:double,expected:double>>"
 
     def start():
@@ -254,12 +290,10 @@ def below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    def probabilities(batches):
-        import pandas as pd
-
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
         for batch in batches:
-            yield pd.Series([m.probability(m.evidence(t)) for t in batch])
+            yield pd.Series([m.probability(m.evidence(t)) for t in batch], dtype=float)
 
-    scored = F.pandas_udf(probabilities, "double", F.PandasUDFType.SCALAR_ITER)
     return docs.where(scored(F.col("text").cast("string")) < limit)
