@@ -82,13 +82,35 @@ def loss_texts(formatted: Column, spans: Column) -> Column:
     return F.transform(spans, lambda s: unescaped(F.substring(formatted, (s["first"] + 1).cast("int"), s["n"].cast("int"))))
 
 
+#: What a log's discarded drafts say.
+DRAFT = "a first draft, <turn> not to be seen"
+
+
 def events_of_turns(conversations: DataFrame) -> DataFrame:
-    """Finished turns as a log: each row opens a message and streams its text as one delta. Rows of a conversation by turn, ties by role and text."""
+    """Finished turns as the log that a server would keep of them. Rows of a conversation by turn, ties by role and text.
+
+    Every text is streamed in three pieces. By a hash of conversation and turn, a third of the messages is streamed at
+    once; a third is drafted, edited to the first piece and streamed on; a third is drafted, answered by a message that is
+    then abandoned, regenerated, and streamed. Folding the log gives the turns back."""
     c = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     c = c.withColumn("message", F.row_number().over(w).cast("long"))
-    steps = F.array(F.struct((2 * F.col("message")).alias("seq"), F.lit("message").alias("kind"), F.col("role"), F.lit("").alias("text")), F.struct((2 * F.col("message") + 1).alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.col("text")))
-    return c.select("conv_id", "message", F.explode(steps).alias("e")).select("conv_id", "message", "e.*")
+    n, style = F.char_length("text"), F.pmod(F.xxhash64("conv_id", "message"), F.lit(3))
+    third, two = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
+    pieces = [F.substring("text", F.lit(1), third), F.substring("text", third + 1, two - third), F.substring("text", two + 1, n - two)]
+    none = F.lit(None).cast("string")
+
+    def event(at: int, kind: str, text: Column, role: Column = none, message: Column = F.col("message")) -> Column:
+        return F.struct(message.alias("message"), (16 * F.col("message") + at).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    opened, draft = event(0, "message", F.lit(""), F.col("role")), event(1, "delta", F.lit(DRAFT))
+    stream = lambda at, which: [event(at + k, "delta", p) for k, p in enumerate(which)]
+    at_once = F.array(*stream(1, pieces), opened)
+    edited = F.array(draft, event(2, "edit", pieces[0]), *stream(3, pieces[1:]), opened)
+    abandoned = [event(2, "message", F.lit(""), F.lit("assistant"), -F.col("message")), event(3, "delta", F.lit(DRAFT), none, -F.col("message"))]
+    redone = F.array(*stream(5, pieces), event(4, "regenerate", F.lit("")), *abandoned, draft, opened)
+    steps = F.when(style == 0, at_once).when(style == 1, edited).otherwise(redone)
+    return c.select("conv_id", F.explode(steps).alias("e")).select("conv_id", "e.*")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
