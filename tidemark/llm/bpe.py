@@ -14,7 +14,6 @@ import heapq
 import json
 import mmap
 import os
-import re
 import struct
 import tempfile
 import unicodedata
@@ -28,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .code_points import CodePoints, members, probe
+from .code_points import CodePoints, Holds, members, probe
 from .common import map_rows, once, texts, written
 
 NEVER = 1 << 60
@@ -252,7 +251,7 @@ class Words:
 
     def __init__(self, spec: dict, points: CodePoints):
         pattern = {x["type"]: x for x in spec["pre_tokenizer"]["pretokenizers"]}["Split"]["pattern"]["Regex"]
-        self.findall, self.odd = regex.compile(pattern).findall, re.compile(f"[{members(points.odd)}]").search
+        self.findall, self.odd = regex.compile(pattern).findall, Holds(points.odd)
         for name, ranges in ((r"\p{L}", points.letters), (r"\p{N}", points.numbers), (r"\s", points.white)):
             pattern = pattern.replace(name, members(ranges))
         self.pattern, self.probed = pattern, None
@@ -265,7 +264,7 @@ class Words:
 
     def chunks(self, text: str) -> list[str]:
         """No word of the pattern crosses a chunk."""
-        if not text.isascii() and self.odd(text):
+        if self.odd(text):
             if not self.probed:
                 self.of_library()
             return [x for x in self.normalise(text).split(" ") if x]
@@ -277,7 +276,7 @@ class Words:
             return [chunk]
         if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?|":
             return [chunk[:-1], chunk[-1]]
-        if not chunk.isascii() and self.odd(chunk):
+        if self.odd(chunk):
             if not self.probed:
                 self.of_library()
             return self.probed(chunk)

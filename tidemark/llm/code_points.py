@@ -30,6 +30,26 @@ def members(ranges: Ranges) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
+class Holds:
+    """Whether a text holds a code point of the ranges (all above Latin-1): a table look-up for each character at most."""
+
+    def __init__(self, ranges: Ranges):
+        self.table = np.zeros(0x110000, bool)
+        for a, b in ranges:
+            self.table[a : b + 1] = True
+        if self.table[:256].any():
+            raise ValueError("code points of Latin-1 are known")
+
+    def __call__(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+            return False
+        except UnicodeEncodeError:
+            return bool(self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+
 def ranges_of(mask: np.ndarray) -> Ranges:
     edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
     return tuple(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))

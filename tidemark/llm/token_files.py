@@ -262,7 +262,7 @@ class LibraryEncoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         known = self.memo.__getitem__
-        return [b"" if not t else self.whole(t) if "<|" in t or not t.isascii() and self.odd(t) else b"".join(map(known, self.chunks(t))) for t in texts]
+        return [b"" if not t else self.whole(t) if "<|" in t or self.odd(t) else b"".join(map(known, self.chunks(t))) for t in texts]
 
 
 class _Chunks(dict):
