@@ -104,7 +104,8 @@ def test_peer_block_has_every_listed_feature(spark, bars):
             np.testing.assert_allclose(get("leader_liquidity_advantage"), (liquid.loc[d][j] - liquid.loc[d][i]).to_numpy())
             shock = get("factor_resid_tod_tail_1m", j) * np.sign(get("peer_lead_pred_1m")) >= 0.98
             np.testing.assert_allclose(get("peer_shock_breadth_1m")[1:], shock[1:].astype(float))
-            assert np.isnan(get("peer_lead_pred_2m")[0]) and np.isfinite(get("peer_lead_pred_2m")[1:]).all()
+            # the first minute has no return, so the residual before the second one is missing, and stays so
+            assert np.isnan(get("peer_lead_pred_2m")[:2]).all() and np.isfinite(get("peer_lead_pred_2m")[2:]).all()
             seen += shock.sum()
     assert seen
 

@@ -88,7 +88,7 @@ def clock_factor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     g = staged.apply(grid(spark, sf_dir), Pack(SPARK, hist=8, beta_sessions=6, beta_least=40, **SHORT).target_stages())
     own = g.select(*KEYS, *(F.col(x) for x in BLOCKS["targets"] if x.endswith("_30m")))
-    factor = factor_block(g, sessions=8, k=2, peers=3, project=FACTOR_TARGETS).select(*KEYS, *FACTOR_TARGETS)
+    factor = factor_block(g, sessions=8, k=2, peers=3, least_sessions=8, least_rows=20, project=FACTOR_TARGETS).select(*KEYS, *FACTOR_TARGETS)
     return own.join(factor, KEYS, "left").selectExpr(*staged.outputs(KEYS, [*own.columns[3:], *FACTOR_TARGETS], SPARK))
 
 
@@ -118,5 +118,5 @@ def clock_plan_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L scan, B.2, B.3: every listed pair at 3, 5 and 10 bins and every tail surface, over all 31 targets."""
     from tidemark.operators.pairs import scan
 
-    q, targets = ranked(grid(spark, sf_dir), Pack(SPARK, hist=8, beta_sessions=6, beta_least=40, **SHORT), sessions=8, k=2, peers=3)
+    q, targets = ranked(grid(spark, sf_dir), Pack(SPARK, hist=8, beta_sessions=6, beta_least=40, **SHORT), sessions=8, k=2, peers=3, least_sessions=8, least_rows=20)
     return scan(q, targets)

@@ -264,7 +264,7 @@ def factor_peer_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.plans.clock_queries import SHORT
 
     pack = Pack(SPARK, hist=8, beta_sessions=6, beta_least=40, **SHORT)
-    return peer_block(staged.apply(grid(spark, sf_dir), pack.liquidity_stages()), pack, sessions=8, k=2, peers=3)
+    return peer_block(staged.apply(grid(spark, sf_dir), pack.liquidity_stages()), pack, sessions=8, k=2, peers=3, least_sessions=8, least_rows=20)
 
 
 @register("subgroup_query", "SELECT CAST(least(floor(k * 5), 4) AS INTEGER) AS cell, count(*) AS n, round(avg(y), 4) AS mean FROM (SELECT value AS y, CAST(ts AS DATE) AS d, (rank() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value) + (count(*) OVER (PARTITION BY CAST(ts AS DATE), value) - 1) / 2e0) / count(*) OVER (PARTITION BY CAST(ts AS DATE)) AS k FROM events WHERE event_type IN ('click', 'purchase')) GROUP BY 1 HAVING cell > 0 ORDER BY cell LIMIT 3")
