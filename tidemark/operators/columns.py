@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,15 +48,23 @@ def unpacked(code: Column, bins: int) -> Column:
     return F.when(code < 255, part).cast("int")
 
 
-def sum_before(df: DataFrame, by: str, add: Column, then: Iterable[str] = (), *, falling: bool = False, buckets: int = 64, out: str = "before") -> DataFrame:
+def sum_before(df: DataFrame, by: str, add: Column, then: Iterable[str] = (), *, falling: bool = False, rows: int = 1_000_000, out: str = "before") -> DataFrame:
     """df with the sum of `add` over all rows before each one in the order of a numeric column (then of others), without one task that holds all rows.
 
-    Rows are laid into ranges by approximate quantiles; each range is ordered by itself, and the sums of the ranges
-    before it are added. Known values only.
+    Rows are laid into ranges of about `rows` (64 ranges at least) by approximate quantiles; each range is ordered by
+    itself, and the sums of the ranges before it are added. Equal values share a range. Known values only.
     """
     df = df.where(F.col(by).isNotNull())
-    cuts = sorted(set(df.approxQuantile(by, [k / buckets for k in range(1, buckets)], 0.005)))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(by))) if cuts else F.lit(0)
+    buckets = max(64, -(-df.count() // rows))
+    cuts = sorted(set(df.approxQuantile(by, [k / buckets for k in range(1, buckets)], min(0.005, 0.25 / buckets))))
+    # the range's number by halves: a row is compared with few cuts, however many there are
+    def among(lo: int, hi: int) -> Column:
+        if hi - lo <= 16:
+            return reduce(lambda a, b: a + b, (F.when(F.col(by) >= F.lit(c), 1).otherwise(0) for c in cuts[lo:hi]), F.lit(lo))
+        mid = (lo + hi) // 2
+        return F.when(F.col(by) >= F.lit(cuts[mid]), among(mid, hi)).otherwise(among(lo, mid))
+
+    part = among(0, len(cuts))
     df = df.withColumn("_add", add.cast("double")).withColumn("_range", -part if falling else part)
     own = Window.partitionBy("_range").orderBy(F.desc(by) if falling else F.asc(by), *then).rowsBetween(Window.unboundedPreceding, -1)
     ranges = df.groupBy("_range").agg(F.sum("_add").alias("_t"))

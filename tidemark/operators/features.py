@@ -6,6 +6,7 @@ need min(n, max(5, ceil(0.6 n))) observations unless a formula says otherwise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from tidemark.functions.sqltext import Sql, required
@@ -184,10 +185,10 @@ def fam_moving_average(q: Sql, n: int, fast: int, slow: int) -> list[dict[str, s
     ]
 
 
-def ema(q: Sql, x: str, span: int, cut: int = 64) -> str:
-    """Exponential average with a = 2 / (span + 1), started at the first value. Terms older than `cut` rows are below (1 - a) ** cut and end the sum."""
+def ema(q: Sql, x: str, span: int) -> str:
+    """Exponential average with a = 2 / (span + 1), started at the first value. What is older than the window weighs less than a double can tell."""
     a = 2 / (span + 1)
-    w = q.over(cut)
+    w = q.over(max(math.ceil(37 / -math.log(1 - a)), 2) if a < 1 else 1)
     items = f"collect_list({x}) {w}" if q.spark else f"list({x}) {w}"
     if q.spark:
         return f"aggregate({items}, CAST(NULL AS DOUBLE), (s, x) -> CASE WHEN s IS NULL THEN x ELSE {1 - a!r}D * s + {a!r}D * x END)"

@@ -50,6 +50,29 @@ def admitted(df: DataFrame, keys: list[str], order: list[str], hold: int) -> Dat
     return df.groupBy(*keys).applyInPandas(f, schema)
 
 
+def placebo(df: DataFrame, decision: str, key: list[str], signal: str, y: str, runs: int, seed: int = 0) -> DataFrame:
+    """The mean of y over a 0/1 signal (as a share of all rows) against runs in which each decision's signals fall on rows drawn by a seeded hash.
+
+    Columns: effect, p = (1 + runs at least as far from zero) / (runs + 1). One shuffle by decision: each run is a rank of
+    its own within the decision, and only sums leave a task."""
+    w = Window.partitionBy(decision)
+    x = df.select(decision, F.struct(*key).alias("_key"), F.col(signal).cast("double").alias("_s"), F.col(y).alias("_y")).where("_s IS NOT NULL AND _y IS NOT NULL")
+    x = x.withColumn("_chosen", F.sum("_s").over(w))
+    x = x.withColumns({f"_r{k}": F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.lit(k), "_key"), "_key")) for k in range(runs)})
+    sums = x.agg(F.sum(F.col("_s") * F.col("_y")).alias("real"), F.count("*").alias("n"), *(F.sum(F.when(F.col(f"_r{k}") <= F.col("_chosen"), F.col("_y")).otherwise(0.0)).alias(f"m{k}") for k in range(runs)))
+    as_far = sum((F.abs(f"m{k}") >= F.abs("real")).cast("int") for k in range(runs))
+    return sums.select(((1 + as_far) / F.lit(runs + 1)).alias("p"), F.try_divide("real", "n").alias("effect"))
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """n and rho: correlation of average ranks. Ranks come from the counts of distinct values, so no window holds all rows."""
+    x = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    for c in ("_a", "_b"):
+        v = sum_before(x.groupBy(c).agg(F.count("*").alias("_k")), c, F.col("_k"))
+        x = x.join(v.select(c, (F.col("before") + (F.col("_k") + 1) / 2).alias(f"_rank{c}")), c)
+    return x.agg(F.count("*").alias("n"), F.corr("_rank_a", "_rank_b").alias("rho"))
+
+
 def concurrency(df: DataFrame, start: str, stop: str) -> DataFrame:
     """Open intervals over time: +1 at a start, -1 at a stop, summed by time before the running sum."""
     ev = df.select(F.col(start).alias("t"), F.lit(1).alias("d")).unionByName(df.select(F.col(stop).alias("t"), F.lit(-1).alias("d")))

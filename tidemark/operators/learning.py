@@ -16,7 +16,7 @@ def regressors() -> dict[str, Callable]:
     common = {"featuresCol": "features", "labelCol": "y"}
     return {
         "ridge": lambda: LinearRegression(regParam=10.0, elasticNetParam=0.0, **common), "elastic_net": lambda: LinearRegression(regParam=0.001, elasticNetParam=0.1, **common),
-        "boosted": lambda: GBTRegressor(maxDepth=3, maxIter=20, seed=7, **common), "forest": lambda: RandomForestRegressor(maxDepth=8, numTrees=20, seed=7, **common),
+        "boosted": lambda: GBTRegressor(maxDepth=3, maxIter=100, seed=7, **common), "forest": lambda: RandomForestRegressor(maxDepth=8, numTrees=100, seed=7, **common),
     }
 
 

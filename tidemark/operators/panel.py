@@ -59,10 +59,13 @@ def forward_targets(bars: DataFrame, keys: list[str], order: list[str], horizons
 
 
 def fail_closed(targets: DataFrame, actions: DataFrame, key: str, entry: str, exit_: str, target: str) -> DataFrame:
-    """A target whose holding period crosses a corporate action (entry < action <= exit) is missing, and flagged."""
-    a = actions.select(F.col(key).alias("_k"), "action_date").distinct()
-    hit = targets.join(a, (F.col(key) == F.col("_k")) & (F.col("action_date") > F.col(entry)) & (F.col("action_date") <= F.col(exit_)), "left")
-    out = hit.groupBy(*targets.columns).agg(F.bool_or(F.col("action_date").isNotNull()).alias("crosses_action"))
+    """A target whose holding period crosses a corporate action (entry < action <= exit) is missing, and flagged.
+
+    A security's actions are few: they come to its targets as one list, so rows stay rows and no pairs are made."""
+    a = actions.where("action_date IS NOT NULL").groupBy(F.col(key).alias("_k")).agg(F.collect_set("action_date").alias("_actions"))
+    out = targets.join(a, F.col(key) == F.col("_k"), "left")
+    crosses = F.exists(F.coalesce("_actions", F.array().cast(a.schema["_actions"].dataType)), lambda d: (d > F.col(entry)) & (d <= F.col(exit_)))
+    out = out.withColumn("crosses_action", F.coalesce(crosses, F.lit(False))).drop("_k", "_actions")
     return out.withColumn(target, F.when(~F.col("crosses_action"), F.col(target)))
 
 

@@ -131,25 +131,20 @@ def factor_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"), F.count("*").alias("n"))
 
 
-@register("variant_audit", f"WITH x AS (SELECT close - open AS a, close - vwap AS b FROM ({BARS_SQL})) SELECT round(corr(a, b), 6) AS corr, round(avg(CASE WHEN sign(a) = sign(b) THEN 1e0 ELSE 0e0 END), 6) AS sign_agreement FROM x")
+@register("variant_audit", f"WITH x AS (SELECT round(close - open, 9) AS a, round(close - vwap, 9) AS b FROM ({BARS_SQL})), r AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2e0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2e0 AS rb FROM x WHERE a IS NOT NULL AND b IS NOT NULL) SELECT round(corr(ra, rb), 6) AS rank_corr, round(avg(CASE WHEN sign(a) = sign(b) THEN 1e0 ELSE 0e0 END), 6) AS sign_agreement FROM r")
 def variant_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How alike two variants of a feature are."""
-    x = bars(spark, sf_dir).select((F.col("close") - F.col("open")).alias("a"), (F.col("close") - F.col("vwap")).alias("b"))
-    return x.agg(r6(F.corr("a", "b"), "corr"), r6(F.avg((F.signum("a") == F.signum("b")).cast("double")), "sign_agreement"))
+    """How alike two variants of a feature are: rank correlation, and agreement in sign."""
+    # rounded, since the lowest bits of a mean depend on the order of its sum and would break ties
+    x = bars(spark, sf_dir).select(F.round(F.col("close") - F.col("open"), 9).alias("a"), F.round(F.col("close") - F.col("vwap"), 9).alias("b"))
+    agree = x.where("a IS NOT NULL AND b IS NOT NULL").agg(r6(F.avg((F.signum("a") == F.signum("b")).cast("double")), "sign_agreement"))
+    return R.spearman(x, "a", "b").select(r6("rho", "rank_corr")).crossJoin(agree)
 
 
 @register("placebo_test")
 def placebo_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets dealt anew within a decision by a seeded hash, 20 times; p = (1 + k) / (R + 1). Random by nature: no SQL twin."""
-    runs = 20
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("d"), F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").alias("k"), (F.col("l_quantity") > 25).cast("double").alias("s"), F.col("l_tax").alias("y"))
-    a = li.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs))))
-    order = F.when(F.col("run") == 0, F.xxhash64("k")).otherwise(F.xxhash64("run", "k"))
-    x = a.select("run", "d", "s", F.row_number().over(Window.partitionBy("run", "d").orderBy(F.xxhash64("k"), "s", "y")).alias("r"))
-    y = a.select("run", "d", "y", F.row_number().over(Window.partitionBy("run", "d").orderBy(order, "s", "y")).alias("r"))
-    m = x.join(y, ["run", "d", "r"]).groupBy("run").agg(F.avg(F.col("s") * F.col("y")).alias("m"))
-    real = m.where("run = 0").select(F.col("m").alias("real"))
-    return m.where("run > 0").crossJoin(F.broadcast(real)).agg(((1 + F.count_if(F.abs("m") >= F.abs("real"))) / (F.count("*") + 1)).alias("p"), F.first("real").alias("effect"))
+    """Signals dealt anew within a decision by a seeded hash, 20 times; p = (1 + k) / (R + 1). Random by nature: no SQL twin."""
+    li = table(spark, sf_dir, "lineitem").withColumn("signal", (F.col("l_quantity") > 25).cast("int"))
+    return R.placebo(li, "l_shipdate", ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"], "signal", "l_tax", 20)
 
 
 _GREEDY = "WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events), g AS (SELECT user_id, 1::BIGINT AS position FROM e GROUP BY user_id UNION ALL SELECT user_id, position + 4 FROM g WHERE position + 4 <= (SELECT max(position) FROM e x WHERE x.user_id = g.user_id)) SELECT e.user_id, e.event_id, e.position FROM e JOIN g ON e.user_id = g.user_id AND e.position = g.position"

@@ -29,9 +29,27 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+#: The file that names a table's version folder.
+POINTER = "CURRENT"
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of path's current version; path itself where it has no versions."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return path
+    with_ = fs.open(at)
+    try:
+        return f"{path}/{bytes(with_.readAllBytes()).decode()}"
+    finally:
+        with_.close()
+
+
 def lake(spark: SparkSession, path: str, **filters: object) -> DataFrame:
     """A partitioned Parquet lake by union of its schemas; equality filters reach the partitions and the scan."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
+    df = spark.read.option("mergeSchema", True).parquet(current(spark, path))
     for name, value in filters.items():
         df = df.where(F.col(name) == F.lit(value))
     return df
@@ -75,8 +93,15 @@ def covered(requests: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFr
     return requests.join(coverage, on, "left_semi")
 
 
-def quote_window(quotes: DataFrame, requests: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFrame:
-    """Quotes of the covered requests only."""
-    ok = covered(requests, coverage, keys)
-    on = [quotes[k] == ok[k] for k in keys] + [quotes["quote_ts"] >= ok["lo"], quotes["quote_ts"] < ok["hi"]]
-    return quotes.join(ok, on, "left_semi")
+def quote_window(quotes: DataFrame, requests: DataFrame, coverage: DataFrame, keys: list[str], width: float = 3600.0) -> DataFrame:
+    """Quotes of the covered requests only, each once.
+
+    Requests that overlap are merged, so a quote is in one interval at most; intervals meet quotes through buckets of
+    width (seconds, or what the times count in), so a key's quotes are not compared with all its requests."""
+    from tidemark.operators.joins import bucketed_range
+
+    ok = covered(requests, coverage, keys).select(*keys, "lo", "hi")
+    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    opens = F.coalesce(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    merged = ok.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order)).groupBy(*keys, "_run").agg(F.min("lo").alias("_from"), F.max("hi").alias("_to")).drop("_run")
+    return bucketed_range(merged, quotes, keys, F.col("_from"), F.col("_to"), F.col("quote_ts"), width).select(*quotes.columns)

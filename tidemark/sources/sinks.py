@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.readers import POINTER, current
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -16,16 +19,27 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_atomic(df: DataFrame, path: str, *partition_by: str) -> None:
-    """A new folder beside path, then a rename: readers see the old table or the new one."""
+    """A new version folder under path, then one rename of the pointer file that names it.
+
+    Readers (readers.lake, views) see the old version or the new one; a run that dies in between leaves the old one. The
+    version before stays for readers that have begun; older ones go."""
     spark = df.sparkSession
-    fs, target, Path = _fs(spark, path)
-    fresh = f"{path}.new"
-    w = df.write.mode("overwrite").option("compression", "zstd")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(fresh)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(Path(fresh), target):
-        raise OSError(f"cannot move {fresh} to {path}")
+    fs, root, Path = _fs(spark, path)
+    before = current(spark, path).removeprefix(f"{path}/") if fs.exists(Path(f"{path}/{POINTER}")) else None
+    fresh = f"version-{uuid.uuid4().hex}"
+    w = df.write.option("compression", "zstd")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{path}/{fresh}")
+    jvm, draft = spark.sparkContext._jvm, Path(f"{path}/.{fresh}")
+    out = fs.create(draft, True)
+    out.write(bytearray(fresh.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(draft), fs.makeQualified(Path(f"{path}/{POINTER}")), how)
+    for x in fs.listStatus(root):
+        name = x.getPath().getName()
+        if name.startswith("version-") and name not in (fresh, before):
+            fs.delete(x.getPath(), True)
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
@@ -35,7 +49,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
 
 def views(spark: SparkSession, tables: dict[str, str]) -> None:
     for name, path in tables.items():
-        spark.read.option("mergeSchema", True).parquet(path).createOrReplaceTempView(name)
+        spark.read.option("mergeSchema", True).parquet(current(spark, path)).createOrReplaceTempView(name)
 
 
 def stage_key(*parts: object) -> str:
