@@ -3,7 +3,9 @@
 Vectors are cut into shards by a hash of their id; each shard builds a ball tree. Queries go through the shards in
 blocks. Within a shard, nodes are visited in the order of their inner-product upper bound (centre score plus query
 norm times radius), and a node is skipped for every query whose current kth score its bound does not reach. The kth
-scores are shared across shards: one pilot shard is searched first and its kth scores are the others' starting point.
+scores are shared across shards: shards are searched in waves of 1, 2, 4, .. of them, and each wave starts from the kth
+best scores of all waves before it. (Shards are random samples of the vectors, so their root bounds are alike and would
+skip none.)
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a query meets only vectors
 of its own dimension; rows with the same id are separate candidates of a query, but never candidates of a query with
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import dropped, ship, written
 
 #: Vectors of a shard, queries of a block, blocks that one task takes, vectors of a leaf.
 SHARD, QUERIES, BLOCKS, LEAF = 8192, 512, 8, 128
@@ -133,17 +135,32 @@ def top_k(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id"
             q = asks.select("q", "vec_id", "v", "block", "kth", "part", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shard"))
             return v.groupBy("shard", "part").cogroup(q.groupBy("shard", "part")).applyInPandas(_search_shard(k), schema)
 
-        pilot = over(0, 0, asks.withColumn("kth", F.lit(low)))
-        got = pilot
-        if shards > 1:
-            pilot = written(spark, pilot, "pilot")
-            kth = pilot.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(low)).alias("kth"))
-            got = pilot.unionByName(over(1, shards - 1, asks.join(kth, "q", "left").withColumn("kth", F.coalesce("kth", F.lit(low)))))
-        found = got if found is None else found.unionByName(got)
+        best, before = over(0, 0, asks.withColumn("kth", F.lit(low))), []
+        for first, last in waves(shards)[1:]:
+            best = written(spark, best, "best")
+            dropped(spark, *before)
+            before = [best]
+            kth = best.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(low)).alias("kth"))
+            more = over(first, last, asks.join(kth, "q", "left").withColumn("kth", F.coalesce("kth", F.lit(low))))
+            best = _ranked(best.unionByName(more), k).drop("rank")
+        found = best if found is None else found.unionByName(best)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def waves(shards: int) -> list[tuple[int, int]]:
+    """First and last shard of each wave: 1, 2, 4, .. shards."""
+    out, first, size = [], 0, 1
+    while first < shards:
+        out.append((first, min(first + size, shards) - 1))
+        first, size = first + size, 2 * size
+    return out
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
