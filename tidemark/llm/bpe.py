@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .code_points import CodePoints, Holds, members, probe
-from .common import map_rows, once, texts, written
+from .common import dropped, map_rows, once, texts, written
 
 NEVER = 1 << 60
 #: Words in the compiled lexicon. The lexicon's size, and what is collected and broadcast for it, is bounded by this.
@@ -395,7 +395,9 @@ def frequent_words(docs: DataFrame, file_bytes: bytes, most: int = LEXICON_WORDS
         if held > most:
             cutoff = n
             break
-    return [r.word for r in total.where(F.col("n") > cutoff).select("word").collect()]
+    found = [r.word for r in total.where(F.col("n") > cutoff).select("word").collect()]
+    dropped(spark, total)
+    return found
 
 
 def build(docs: DataFrame, vocab_path: str, most: int = LEXICON_WORDS) -> tuple[bytes, bytes]:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session (tests) gets one of its own where it is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -55,7 +58,39 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, and later branches do not compute it twice."""
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if _scopes:
+        _scopes[-1].append(path)
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+def dropped(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes written tables that nothing will read again."""
+    for t in tables:
+        path = t if isinstance(t, str) else t.scratch_path
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        for scope in _scopes:
+            if path in scope:
+                scope.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """At its end the tables written in it are deleted, but those given to the function that it yields: these pass to the scope around it, if there is one."""
+    made, kept = [], []
+    _scopes.append(made)
+    try:
+        yield lambda *tables: kept.extend(t.scratch_path for t in tables)
+    finally:
+        _scopes.pop()
+        dropped(spark, *(x for x in made if x not in kept))
+        if _scopes:
+            _scopes[-1].extend(kept)
 
 
 def texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *more: str) -> DataFrame:

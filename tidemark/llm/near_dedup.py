@@ -22,7 +22,7 @@ empty table gives no rows; other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from math import comb
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, map_rows, schema_of, ship, texts, written
+from .common import batched, dropped, map_rows, schema_of, scratch, ship, texts, written
 from .words import mix, shingles
 
 #: Hashes of a signature, rows of a band, hashes compared at a time.
@@ -218,7 +218,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        edges = written(spark, small, name)
+        before, edges = edges, written(spark, small, name)
+        dropped(spark, before)
         # a forest of stars: every id points at one, and none is pointed at that points itself
         open_ = edges.groupBy("v").count().where("count > 1").select("v").unionByName(edges.select(F.col("u").alias("v")).join(edges.select("v"), "v", "left_semi"))
         if open_.isEmpty():
@@ -227,6 +228,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash (xxhash64) of every row of docs. Documents are linked when 100 * intersection >= percent * union of their sets of words-word shingles."""
+    with scratch(docs.sparkSession) as kept:
+        return _near_duplicates(docs, words, percent, kept)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, kept: Callable[..., None]) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = texts(docs, "text", "doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
@@ -281,6 +287,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     linked = comp.unionByName(comp.select(F.col("component").alias("id"), "component").distinct())
     docs_of = linked.join(classes.select("id", "least_doc"), "id").groupBy("component").agg(F.min("least_doc").alias("group_doc"))
     linked = written(spark, linked.join(docs_of, "component"), "groups")
+    kept(sketch, member, linked)  # the result reads these
     member = member.join(linked, "id", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("least_doc")).otherwise(F.col("group_doc")))
     joined = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = sketch.where("doc_id is not null").select("doc_id", F.col("n").alias("n_shingles"), "text_hash").join(joined, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, ship, texts, written
+from .common import map_rows, scratch, ship, texts, written
 
 #: Lengths of the word prefixes that are features beside whole words.
 PREFIXES = (4, 5, 6)
@@ -146,6 +146,11 @@ def solve_slope(values: np.ndarray, weights: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
     """Fits a model on the labelled rows of docs."""
+    with scratch(docs.sparkSession):
+        return _train(docs, labels, label_col)
+
+
+def _train(docs: DataFrame, labels: DataFrame, label_col: str) -> Model:
     spark = docs.sparkSession
     ship(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
