@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, near_dedup, quality, toxicity
-from tidemark.llm.common import written
+from tidemark.llm.common import dropped, scratch, written
 
 
 def _without(docs: DataFrame, rejected: DataFrame, host: bool) -> DataFrame:
@@ -69,6 +69,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for name, stage in STAGES[:-1]:
-        docs = written(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as kept:  # what a stage wrote for itself goes when its documents are written
+            docs = written(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept(docs)
+        dropped(spark, *before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
