@@ -55,8 +55,11 @@ def sum_before(df: DataFrame, by: str, add: Column, then: Iterable[str] = (), *,
     itself, and the sums of the ranges before it are added. Equal values share a range. Known values only.
     """
     df = df.where(F.col(by).isNotNull())
-    buckets = max(64, -(-df.count() // rows))
-    cuts = sorted(set(df.approxQuantile(by, [k / buckets for k in range(1, buckets)], min(0.005, 0.25 / buckets))))
+    quantiles = lambda n: F.percentile_approx(F.col(by).cast("double"), [k / n for k in range(1, n)], max(1000, 8 * n))
+    n, cuts = df.agg(F.count("*"), quantiles(64)).first()
+    if n > 64 * rows:
+        cuts = df.agg(quantiles(-(-n // rows))).first()[0]
+    cuts = sorted(set(cuts or []))
     # the range's number by halves: a row is compared with few cuts, however many there are
     def among(lo: int, hi: int) -> Column:
         if hi - lo <= 16:

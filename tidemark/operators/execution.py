@@ -60,6 +60,34 @@ def marketable_fill(orders: DataFrame, quotes: DataFrame, keys: list[str], parti
     return out.withColumn("filled", F.least(F.col("quantity"), F.floor(F.col("ask_size") * participation))).withColumn("price", F.when(F.col("filled") > 0, F.col("ask")))
 
 
+def quote_fills(orders: DataFrame, quotes: DataFrame, keys: list[str], participation: float, wait: str) -> DataFrame:
+    """Orders (side buy or sell, quantity, order_ts) filled at the first valid quote within a wait: its price on their side, a share of its size at most."""
+    from tidemark.operators.joins import asof
+
+    if not 0 < participation <= 1:
+        raise ValueError("participation is a share")
+    valid = quotes.where((F.col("bid") > 0) & (F.col("ask") >= F.col("bid")) & (F.col("bid_size") > 0) & (F.col("ask_size") > 0))
+    out = asof(orders, valid.withColumn("hit_ts", F.col("quote_ts")), keys, "order_ts", "quote_ts", ["hit_ts", "bid", "ask", "bid_size", "ask_size"], forward=True)
+    hit, buy = F.coalesce(F.col("hit_ts") <= F.col("order_ts") + F.expr(f"INTERVAL {wait}"), F.lit(False)), F.col("side") == "buy"
+    room = F.when(buy, F.col("ask_size")).otherwise(F.col("bid_size")) * participation
+    out = out.withColumn("filled", F.when(hit, F.least(F.col("quantity"), room)).otherwise(0.0)).withColumn("price", F.when(hit, F.when(buy, F.col("ask")).otherwise(F.col("bid"))))
+    return out.withColumn("status", F.when(~hit, "missing_quote").when(F.col("filled") == F.col("quantity"), "filled").otherwise("partial")).drop("hit_ts", "bid", "ask", "bid_size", "ask_size")
+
+
+def market_orders(orders: DataFrame, bars: DataFrame, keys: list[str], entry_delay: int = 1, exit_delay: int = 0) -> DataFrame:
+    """Orders (order_id, decision_ts, planned_exit_ts, direction) on bars (bar_ts, open): entry at the entry_delay-th bar after the decision, exit exit_delay bars after the first one at or after the planned exit. Orders without both have no row."""
+    from tidemark.operators.joins import asof
+
+    numbered = bars.select(*keys, "bar_ts", "open", F.row_number().over(Window.partitionBy(*keys).orderBy("bar_ts")).alias("bar"))
+    at = asof(orders, numbered, keys, "decision_ts", "bar_ts", ["bar"]).withColumnRenamed("bar", "_at")
+    at = asof(at, numbered, keys, "planned_exit_ts", "bar_ts", ["bar"], strict=True).withColumnRenamed("bar", "_upto")
+    first = F.coalesce("_at", F.lit(0))
+    at = at.withColumn("_entry", first + entry_delay).withColumn("_exit", F.greatest(F.coalesce("_upto", F.lit(0)), first) + 1 + exit_delay)
+    one = lambda side: numbered.select(*keys, F.col("bar").alias(f"_{side}"), F.col("bar_ts").alias(f"{side}_ts"), F.col("open").alias(f"{side}_price"))
+    out = at.join(one("entry"), [*keys, "_entry"]).join(one("exit"), [*keys, "_exit"])
+    return out.withColumn("gross_return", leg_return(F.col("entry_price"), F.col("exit_price"), F.col("direction"))).drop("_at", "_upto", "_entry", "_exit")
+
+
 def passive_fill(orders: DataFrame, trades: DataFrame, keys: list[str], width: float) -> DataFrame:
     """A resting buy fills at its limit when a later trade goes strictly through it before it expires."""
     from tidemark.operators.joins import bucketed_range

@@ -24,9 +24,9 @@ def bar_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "month", "bucket", *r6s("open", "high", "low", "close"), F.round("volume", 4).alias("volume"), "constituent_bars", r6("vwap", "vwap"), "trade_count")
 
 
-def _session_sql() -> str:
+def _session_sql(minutes: tuple[int, ...] = (60, 240)) -> str:
     cols = []
-    for k in (60, 240):
+    for k in minutes:
         cols.append(f"round(arg_max(value, t) FILTER (WHERE o <= {k}) / nullif(arg_min(value, t), 0) - 1, 6) + 0e0 AS opening_return_{k}m, round(arg_max(value, t) / nullif(arg_min(value, t) FILTER (WHERE c <= {k}), 0) - 1, 6) + 0e0 AS closing_return_{k}m, round((max(value) FILTER (WHERE o <= {k}) - min(value) FILTER (WHERE o <= {k})) / nullif(arg_min(value, t), 0), 6) AS opening_range_pct_{k}m, round(sum(v) FILTER (WHERE c <= {k}) / sum(v), 6) AS closing_volume_share_{k}m, round(sum(v) FILTER (WHERE o <= {k}), 4) AS opening_volume_{k}m")
     return f"""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, epoch_us(ts) / 60e6 AS t, value, 1e0 + event_id % 7 AS v FROM events),
 x AS (SELECT *, t - min(t) OVER d AS o, max(t) OVER d - t AS c, sign(value - sum(value * v) OVER r / sum(v) OVER r) AS side, sum(v) OVER (PARTITION BY user_id, day ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v5 FROM e WINDOW d AS (PARTITION BY user_id, day), r AS (PARTITION BY user_id, day ORDER BY t)),
