@@ -73,6 +73,29 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return x.agg(F.count("*").alias("n"), F.corr("_rank_a", "_rank_b").alias("rho"))
 
 
+def crossfit(df: DataFrame, fold: str, a: str, b: str, y: str, bins: int) -> DataFrame:
+    """For each fold the cell of largest absolute interaction lift on the other folds (totals less the fold), with both means and lifts; over the cells that both have, the rank correlation, the slope of held-out on training means weighted by held-out rows, and the held-out spread."""
+    held = df.groupBy(fold, a, b).agg(F.count("*").alias("hn"), F.sum(y).alias("hs"))
+    places = F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
+    every = held.select(fold).distinct().select(fold, places.alias(a)).select(fold, a, places.alias(b))  # folds times cells, however many rows there are
+    t = every.join(held, [fold, a, b], "left").fillna(0, ["hn"]).fillna(0.0, ["hs"])
+    cell = Window.partitionBy(a, b)
+    t = t.withColumn("tn", F.sum("hn").over(cell) - F.col("hn")).withColumn("ts", F.sum("hs").over(cell) - F.col("hs"))
+
+    def lift(n: str, s: str) -> Column:
+        part = lambda *by: F.try_divide(F.sum(s).over(Window.partitionBy(fold, *by)), F.sum(n).over(Window.partitionBy(fold, *by)))
+        return F.try_divide(s, n) - part(a) - part(b) + part()
+
+    t = t.withColumns({"hm": F.try_divide("hs", "hn"), "tm": F.try_divide("ts", "tn"), "tl": lift("tn", "ts"), "hl": lift("hn", "hs"), "cell": F.col(a) * bins + F.col(b)})
+    by = Window.partitionBy(fold)
+    rank = lambda c: F.rank().over(by.orderBy(F.round(c, 9))) + (F.count("*").over(Window.partitionBy(fold, F.round(c, 9))) - 1) / 2
+    both = t.where("hn > 0 AND tn > 0").withColumn("rt", rank("tm")).withColumn("rh", rank("hm"))
+    w = lambda *c: F.sum(F.expr(" * ".join(["hn", *c])))
+    agree = both.groupBy(fold).agg(F.corr("rt", "rh").alias("spearman"), F.try_divide(w("tm", "hm") - w("tm") * w("hm") / w(), w("tm", "tm") - w("tm") * w("tm") / w()).alias("slope"), (F.max("hm") - F.min("hm")).alias("heldout_spread"))
+    best = t.withColumn("_r", F.row_number().over(by.orderBy(F.round(F.abs("tl"), 9).desc_nulls_last(), "cell"))).where("_r = 1")
+    return best.select(fold, "cell", F.col("hn").alias("heldout_n"), F.col("tm").alias("train_mean"), F.col("tl").alias("train_lift"), F.col("hm").alias("heldout_mean"), F.col("hl").alias("heldout_lift")).join(agree, fold)
+
+
 def concurrency(df: DataFrame, start: str, stop: str) -> DataFrame:
     """Open intervals over time: +1 at a start, -1 at a stop, summed by time before the running sum."""
     ev = df.select(F.col(start).alias("t"), F.lit(1).alias("d")).unionByName(df.select(F.col(stop).alias("t"), F.lit(-1).alias("d")))

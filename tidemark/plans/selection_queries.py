@@ -248,3 +248,43 @@ def chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolling = d.select(F.lit("rolling").alias("kind"), F.explode(F.transform(starts, lambda k: k.cast("string"))).alias("label"), "n", "t")
     both = d.select(F.lit("month").alias("kind"), F.date_format("session_date", "yyyy-MM").alias("label"), "n", "t").unionByName(rolling)
     return both.groupBy("kind", "label").agg(F.sum("n").alias("n"), r6(F.try_divide(F.sum("t"), F.sum("n")), "mean"))
+
+
+@register("candidate_replay")
+def candidate_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate's signals with delayed entries, hedge legs and a reason for each that is not traded; checked against a replay in the tests."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("security_id"), F.col("ts").cast("timestamp").alias("ts"), "value", "user_id")
+    late = e.withColumn("exit_ts", F.lead("ts", 4).over(w)).withColumn("exit_price", F.lead("value", 4).over(w))
+    basis = F.element_at(F.array(*map(F.lit, ("raw", "benchmark_adjusted", "beta_residual", "other"))), (F.col("event_id") % 17 % 4 + 1).cast("int"))
+    s = late.select(F.col("event_id").alias("signal_id"), "security_id", F.col("ts").alias("decision_ts"), F.col("ts").alias("entry_ts"), F.col("value").alias("entry_price"), "exit_ts", "exit_price", F.when(F.col("event_id") % 5 == 0, -1).otherwise(1).alias("direction"), basis.alias("basis"), F.when(F.col("event_id") % 7 != 0, 0.8).alias("beta"), F.col("ts").alias("benchmark_entry_ts"), F.col("exit_ts").alias("benchmark_exit_ts"), (F.col("exit_price") + 10).alias("benchmark_exit_price"))
+    b = e.select("security_id", "ts", F.col("value").alias("price"))
+    return X.candidate_replay(s, b, e.groupBy("ts").agg((F.avg("value") + 10).alias("price")), 30, 1.0, 1.0).select("signal_id", "status", r6("gross", "gross"), r6("net", "net"))
+
+
+@register("independent_signals")
+def independent_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping and conflicting signals of several strategies; checked against a replay in the tests."""
+    e = table(spark, sf_dir, "events").where("event_type IN ('click', 'purchase')")
+    s = e.select(F.col("event_id").alias("signal_id"), "event_type", F.col("user_id").cast("string").alias("symbol"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("signal_ts"), F.when(F.col("event_id") % 3 == 0, -1).otherwise(1).alias("side"))
+    s = s.withColumnRenamed("event_type", "strategy").withColumn("planned_exit_ts", F.col("signal_ts") + F.expr("INTERVAL 30 HOURS"))
+    return X.independent_signals(s)
+
+
+def _crossfit_sql() -> str:
+    lift = lambda n, s: f"{s} / nullif({n}, 0) - sum({s}) OVER fa / nullif(sum({n}) OVER fa, 0) - sum({s}) OVER fb / nullif(sum({n}) OVER fb, 0) + sum({s}) OVER f / nullif(sum({n}) OVER f, 0)"
+    return f"""WITH {PANEL}, x AS (SELECT {_bin('ra', 3)} AS a, {_bin('rb', 3)} AS b, CAST(year(decision) % 3 AS INTEGER) AS fold, y FROM p WHERE ra IS NOT NULL AND rb IS NOT NULL AND y IS NOT NULL),
+h AS (SELECT fold, a, b, count(*) AS n, sum(y) AS s FROM x GROUP BY ALL), g AS (SELECT f.fold, c.a, d.b, coalesce(n, 0) AS hn, coalesce(s, 0e0) AS hs FROM (SELECT DISTINCT fold FROM x) f, (SELECT unnest([0, 1, 2]) AS a) c, (SELECT unnest([0, 1, 2]) AS b) d LEFT JOIN h ON h.fold = f.fold AND h.a = c.a AND h.b = d.b),
+t AS (SELECT *, sum(hn) OVER (PARTITION BY a, b) - hn AS tn, sum(hs) OVER (PARTITION BY a, b) - hs AS ts FROM g),
+l AS (SELECT fold, a * 3 + b AS cell, hn, tn, hs / nullif(hn, 0) AS hm, ts / nullif(tn, 0) AS tm, {lift('tn', 'ts')} AS tl, {lift('hn', 'hs')} AS hl FROM t WINDOW f AS (PARTITION BY fold), fa AS (PARTITION BY fold, a), fb AS (PARTITION BY fold, b)),
+k AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY round(tm, 9)) + (count(*) OVER (PARTITION BY fold, round(tm, 9)) - 1) / 2e0 AS rt, rank() OVER (PARTITION BY fold ORDER BY round(hm, 9)) + (count(*) OVER (PARTITION BY fold, round(hm, 9)) - 1) / 2e0 AS rh FROM l WHERE hn > 0 AND tn > 0),
+m AS (SELECT fold, corr(rt, rh) AS rho, (sum(hn * tm * hm) - sum(hn * tm) * sum(hn * hm) / sum(hn)) / nullif(sum(hn * tm * tm) - sum(hn * tm) * sum(hn * tm) / sum(hn), 0) AS slope, max(hm) - min(hm) AS spread FROM k GROUP BY fold),
+c AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(abs(tl), 9) DESC NULLS LAST, cell) = 1)
+SELECT fold, cell, CAST(hn AS BIGINT) AS heldout_n, round(tm, 5) AS train_mean, round(tl, 5) + 0e0 AS train_lift, round(hm, 5) AS heldout_mean, round(hl, 5) + 0e0 AS heldout_lift, round(spread, 5) AS heldout_spread, round(rho, 5) + 0e0 AS spearman, round(slope, 3) + 0e0 AS slope FROM c JOIN m USING (fold)"""
+
+
+@register("crossfit_surface", _crossfit_sql())
+def crossfit_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell that the other folds choose, judged on the one held out, and how the surfaces agree. One shuffle to cells; the rest is a small table."""
+    p = panel(spark, sf_dir).select(C.rank_bin(F.col("ra"), 3).alias("a"), C.rank_bin(F.col("rb"), 3).alias("b"), (F.year("decision") % 3).alias("fold"), "y").where("a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL")
+    return R.crossfit(p, "fold", "a", "b", "y", 3).select("fold", "cell", "heldout_n", *((F.round(c, 3 if c == "slope" else 5) + 0.0).alias(c) for c in ("train_mean", "train_lift", "heldout_mean", "heldout_lift", "heldout_spread", "spearman", "slope")))
