@@ -359,13 +359,15 @@ class _CountWords:
     """Counts of the pattern's words, sent on whenever many are held."""
 
     def __init__(self, file_bytes: bytes, points: CodePoints):
-        self.codec, self.held = Codec(file_bytes, points=points), Counter()
+        spec = json.loads(file_bytes)
+        self.words, self.special, self.held = Words(spec, points), {x["content"] for x in spec["added_tokens"]}, Counter()
+        self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special))) + ")") if self.special else None
 
     def __call__(self, text: str | None):
         if text:
-            for part in self.codec.split_special.split(text) if "<|" in text else [text]:
-                if part not in self.codec.special:
-                    self.held.update(self.codec.words.chunks(part))
+            for part in self.split_special.split(text) if self.split_special and "<|" in text else [text]:
+                if part not in self.special:
+                    self.held.update(self.words.chunks(part))
         if len(self.held) > 300_000:
             return self.end()
         return None
@@ -373,7 +375,7 @@ class _CountWords:
     def end(self) -> Iterator[tuple]:
         words: Counter = Counter()
         for chunk, n in self.held.items():
-            for word in self.codec.split(chunk):
+            for word in self.words.split(chunk):
                 words[word] += n
         self.held.clear()
         return iter(words.items())

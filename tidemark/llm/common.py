@@ -159,9 +159,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def once(key: object, make: Callable[[], object]) -> object:
-    """A value kept in this Python worker under key; only the newest of its kind is kept."""
+    """A value kept in this Python worker under key. Only the newest is kept: a worker that serves one query after the other holds the tables of one."""
     kept = sys.modules.setdefault("_tidemark_kept", type(sys)("_tidemark_kept")).__dict__
-    name, version = key
-    if kept.get(name, (None,))[0] != version:
-        kept[name] = (version, make())
-    return kept[name][1]
+    if kept.get("newest", (None,))[0] != key:
+        kept.pop("newest", None)  # before the new one is made
+        kept["newest"] = (key, make())
+    return kept["newest"][1]

@@ -37,12 +37,11 @@ class _Counts:
         self.encoder, self.schema = encoder, schema
 
     def __call__(self, batches):
-        encode = self.encoder()
+        counts = self.encoder().counts
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                n = [len(ids) // 4 for ids in encode(part.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64())], schema=self.schema)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(counts(part.column(3).to_pylist()), pa.int64())], schema=self.schema)
 
 
 def weight_of(level: Column, weights: dict[str, float]) -> Column:
