@@ -21,10 +21,9 @@ import json
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Words, byte_chars
@@ -36,6 +35,8 @@ NULL_ID = -(1 << 63)
 INDEX = struct.Struct("<4q")
 #: Bytes that a reader asks for at once.
 READ = 4 << 20
+#: Tasks that read files; with more files than that a task reads several.
+MOST_READERS = 20_000
 #: The file closes and a new one begins at about this many bytes, so that no reader's share grows with a task's.
 FILE_BYTES = 64 << 20
 
@@ -127,8 +128,8 @@ def file_system(path: str):
 class _Write:
     """Rows (doc_id, text) in order: writes files, gives a manifest row of each."""
 
-    def __init__(self, encoder, folder: str, end_id: int, schema):
-        self.encoder, self.folder, self.end_id, self.schema = encoder, folder, end_id, schema
+    def __init__(self, encoder, folder: str, end_id: int, file_bytes: int, schema):
+        self.encoder, self.folder, self.end_id, self.file_bytes, self.schema = encoder, folder, end_id, file_bytes, schema
 
     def __call__(self, batches):
         from pyspark import TaskContext
@@ -151,7 +152,7 @@ class _Write:
                     index += INDEX.pack(NULL_ID if doc_id is None else doc_id, bytes_, tokens, len(ids) // 4 + 1)
                     out.write(record)
                     bytes_, tokens = bytes_ + len(record), tokens + len(ids) // 4 + 1
-                    if bytes_ >= FILE_BYTES:
+                    if bytes_ >= self.file_bytes:
                         yield self.close(fs, out, name, index, part, k, first, tokens)
                         out, k = None, k + 1
         if out is not None:
@@ -168,13 +169,13 @@ class _Write:
 MANIFEST = "part int, file int, name string, first_id long, records long, tokens long"
 
 
-def write(docs: DataFrame, folder: str, encoder, end_id: int) -> DataFrame:
+def write(docs: DataFrame, folder: str, encoder, end_id: int, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes docs (doc_id, text) under folder in ascending id order and returns the manifest. encoder() gives a function from texts to their ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = ordered.mapInArrow(_Write(encoder, folder, end_id, schema_of(MANIFEST)), MANIFEST)
+    manifest = ordered.mapInArrow(_Write(encoder, folder, end_id, file_bytes, schema_of(MANIFEST)), MANIFEST)
     path = f"{folder}/manifest"
     manifest.write.parquet(path)
     return spark.read.schema(MANIFEST).parquet(path)
@@ -196,8 +197,13 @@ class _Read:
                 with fs.open_input_stream(f"{folder}/{name}.idx") as f:
                     index = f.read()
                 with fs.open_input_stream(f"{folder}/{name}.rec", buffer_size=READ) as f:
+                    place = 0
                     for doc_id, at, before, n in INDEX.iter_unpack(index):
-                        ids = restored(unframe(f.read))
+                        if at != place:
+                            raise ValueError("the index does not match its records")
+                        data = unframe(f.read)
+                        place += 16 + len(data)
+                        ids = restored(data)
                         if len(ids) != 4 * n:
                             raise ValueError("the index does not match its records")
                         yield (None if doc_id == NULL_ID else doc_id, base + before, n, ids)
@@ -215,16 +221,19 @@ def record(folder: str, name: str, k: int) -> tuple[int | None, bytes]:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian bytes) of every record. The driver reads one manifest row a file to sum what stands before it."""
+    """doc_id, start, n_tokens, ids (little-endian bytes) of every record. What stands before a file is summed by part, then within the part: the driver sees the number of files only."""
     ship(spark)
-    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("part", "file").collect()
-    base = accumulate((r.tokens for r in manifest), initial=0)
-    places = [(r.name, b) for r, b in zip(manifest, base)]
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     schema = "doc_id long, start long, n_tokens long, ids binary"
-    if not places:
+    n = manifest.count()
+    if not n:
         return spark.createDataFrame([], schema)
-    files = spark.createDataFrame(places, "name string, base long").repartition(len(places))
-    return files.mapInArrow(_Read(folder, schema_of(schema)), schema)
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("t"))  # one row a part
+    parts = parts.select("part", F.coalesce(F.sum("t").over(until(Window.orderBy("part"))), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("tokens").over(until(Window.partitionBy("part").orderBy("file"))), F.lit(0))
+    files = manifest.withColumn("own", own).join(parts, "part").select("name", (F.col("before") + F.col("own")).alias("base"))
+    return files.repartition(min(n, MOST_READERS)).mapInArrow(_Read(folder, schema_of(schema)), schema)
 
 
 class LibraryEncoder:
@@ -248,30 +257,42 @@ class LibraryEncoder:
         self.tokenize = self.library.model.tokenize
         words = Words(json.loads(spec), points or probe())
         self.chunks, self.split, self.odd, self.chars = words.chunks, words.split, words.odd, byte_chars()
-        self.memo = _Chunks(self.ids_of, self.MEMO)
+        self.memo, self.numbers = _Chunks(self.ids_of, self.MEMO), _Chunks(self.number_of, self.MEMO)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def tokens_of(self, word: str) -> list:
+        return self.tokenize(word if word.isascii() and word.isprintable() else "".join([self.chars[b] for b in word.encode()]))
+
     def ids_of(self, chunk: str) -> bytes:
         words = self.split(chunk)
         if words != [chunk]:
             return b"".join(map(self.memo.__getitem__, words))
-        ids = [t.id for t in self.tokenize(chunk if chunk.isascii() and chunk.isprintable() else "".join([self.chars[b] for b in chunk.encode()]))]
+        ids = [t.id for t in self.tokens_of(chunk)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def number_of(self, chunk: str) -> int:
+        words = self.split(chunk)
+        return len(self.tokens_of(chunk)) if words == [chunk] else sum(map(self.numbers.__getitem__, words))
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """The number of ids of each text."""
+        known = self.numbers.__getitem__
+        return [0 if not t else len(self.whole(t)) // 4 if "<|" in t or self.odd(t) else sum(map(known, self.chunks(t))) for t in texts]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         known = self.memo.__getitem__
         return [b"" if not t else self.whole(t) if "<|" in t or self.odd(t) else b"".join(map(known, self.chunks(t))) for t in texts]
 
 
 class _Chunks(dict):
-    """Ids of chunks and words seen by this worker, in two generations: what is used again outlives the rest."""
+    """What is made of chunks and words seen by this worker, in two generations: what is used again outlives the rest."""
 
     def __init__(self, make, most: int):
         self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: str):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
