@@ -103,3 +103,30 @@ def test_ols_on_collinear_columns(spark):
     df = spark.createDataFrame([(float(k), float(2 * k), 3.0 * k + 1) for k in range(20)] + [(None, 1.0, 5.0)], "a double, b double, y double")
     c = {r.term: r.coefficient for r in S.ols(df, "y", ["a", "b"]).collect()}
     assert c["intercept"] == pytest.approx(1) and c["a"] + 2 * c["b"] == pytest.approx(3)
+
+
+def test_service_verbs(spark, tmp_path):
+    from tidemark.operators import service
+
+    df = spark.createDataFrame([(c, float(c + k)) for c in range(9) for k in range(3)], "cell int, y double")
+    d = service.describe({"cells": df, "few": df.limit(2)})
+    assert {r.table: r.rows for r in d.collect()} == {"cells": 27, "few": 2}
+    key = service.freeze(df, str(tmp_path), "candidates", {"v": 1})
+    assert service.freeze(df.repartition(3), str(tmp_path), "candidates", {"v": 1}) == key
+    for changed, spec in ((df.limit(5), {"v": 1}), (df, {"v": 2})):
+        with pytest.raises(PermissionError, match="frozen"):
+            service.freeze(changed, str(tmp_path), "candidates", spec)
+    near = {r.cell: (r.n, r.mean, r.selected) for r in service.experiment("neighbour", df, {"resolution": 3, "cell": 1}).collect()}
+    assert near == {c: (3, c + 1.0, c == 1) for c in range(6)}
+    with pytest.raises(ValueError):
+        service.experiment("other", df, {})
+
+
+def test_autopsy_of_an_effect_of_one_security(spark):
+    from tidemark.operators.dossier import autopsy
+
+    rows = [(s, m, 5.0 if s == 0 else -0.01) for s in range(10) for m in range(20)]
+    df = spark.createDataFrame(rows, "s int, m int, y double")
+    got = {r.check: r.passed for r in autopsy(df, "y", "s", "m", F.col("m") < 10, 0.001).collect()}
+    assert got["rows"] and got["mean"] and got["halves"] and got["months"] and not got["without_best_security"] and got["without_best_month"]
+    assert not any(r.passed for r in autopsy(df.where("false"), "y", "s", "m", F.col("m") < 10, 0.001).collect())

@@ -72,3 +72,46 @@ def advance(state: str, to: str) -> str:
     if STATES.index(to) != STATES.index(state) + 1:
         raise PermissionError(f"{state} does not lead to {to}")
     return to
+
+
+def describe(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, rows, columns, fingerprint of every table of a publication."""
+    from tidemark.sources.readers import fingerprint
+
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(name, df.count(), ",".join(f"{c}:{t}" for c, t in sorted(df.dtypes)), fingerprint(df)) for name, df in sorted(tables.items())]
+    return spark.createDataFrame(rows, "table string, rows long, columns string, fingerprint string")
+
+
+def freeze(df: DataFrame, root: str, name: str, spec: dict) -> str:
+    """Stores a table under a hash of its rows and its definition, once: the same name with other rows or another definition is refused. Returns the hash."""
+    from tidemark.sources.readers import fingerprint
+    from tidemark.sources.sinks import _fs, write_atomic
+
+    spark = df.sparkSession
+    key = hashlib.sha256(json.dumps([name, fingerprint(df), spec], sort_keys=True, default=str).encode()).hexdigest()
+    fs, seal, Path = _fs(spark, f"{root}/{name}/SEAL")
+    if fs.exists(seal):
+        with_ = fs.open(seal)
+        before = bytes(with_.readAllBytes()).decode()
+        with_.close()
+        if before != key:
+            raise PermissionError(f"{name} is frozen with other rows or another definition")
+        return key
+    write_atomic(df, f"{root}/{name}/rows")
+    out = fs.create(seal, False)  # fails where another run has sealed it meanwhile
+    out.write(bytearray(key.encode()))
+    out.close()
+    return key
+
+
+def experiment(kind: str, df: DataFrame, spec: dict) -> DataFrame:
+    """A named experiment on a frozen table: "neighbour" compares a union of cells with each cell next to it, "subgroup" answers a query."""
+    if kind == "subgroup":
+        return answer(df, Query(**spec))
+    if kind != "neighbour":
+        raise ValueError(f"{kind!r} is no experiment")
+    k, a, b = spec["resolution"], spec["cell"] // spec["resolution"], spec["cell"] % spec["resolution"]
+    near = [(a + i) * k + b + j for i in (-1, 0, 1) for j in (-1, 0, 1) if 0 <= a + i < k and 0 <= b + j < k]
+    cells = df.where(F.col("cell").isin(near)).groupBy("cell").agg(F.count("y").alias("n"), F.avg("y").alias("mean"))
+    return cells.withColumn("selected", F.col("cell") == spec["cell"])

@@ -288,3 +288,49 @@ def crossfit_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cell that the other folds choose, judged on the one held out, and how the surfaces agree. One shuffle to cells; the rest is a small table."""
     p = panel(spark, sf_dir).select(C.rank_bin(F.col("ra"), 3).alias("a"), C.rank_bin(F.col("rb"), 3).alias("b"), (F.year("decision") % 3).alias("fold"), "y").where("a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL")
     return R.crossfit(p, "fold", "a", "b", "y", 3).select("fold", "cell", "heldout_n", *((F.round(c, 3 if c == "slope" else 5) + 0.0).alias(c) for c in ("train_mean", "train_lift", "heldout_mean", "heldout_lift", "heldout_spread", "spearman", "slope")))
+
+
+def _dossier_sql() -> str:
+    ok = "ra IS NOT NULL AND rb IS NOT NULL AND y IS NOT NULL"
+    inside = f"{_bin('ra', 5)} = 4 AND {_bin('rb', 5)} = 3"
+    parts = [f"SELECT 'distance' AS section, CAST(abs({_bin('ra', 5)} - 4) + abs({_bin('rb', 5)} - 3) AS VARCHAR) AS label, y FROM p WHERE {ok}", f"SELECT 'summary', 'all', y FROM p WHERE {ok} AND {inside}", f"SELECT 'month', month, y FROM p WHERE {ok} AND {inside}", f"SELECT 'fold', CAST(year(decision) AS VARCHAR), y FROM p WHERE {ok} AND {inside}"]
+    parts += [f"SELECT 'tail', '{f}', y FROM p WHERE {ok} AND ra >= 1 - {f}e0" for f in (0.2, 0.1, 0.05, 0.02, 0.01)]
+    parts += [f"SELECT 'resolution', '{k}', y FROM p WHERE {ok} AND {_bin('ra', k)} = {int(0.9 * k)} AND {_bin('rb', k)} = {int(0.7 * k)}" for k in (3, 5, 10)]
+    return f"WITH {PANEL}, x AS ({' UNION ALL '.join(parts)}) SELECT section, label, count(*) AS n, round(avg(y), 5) AS mean, round(stddev_samp(y), 4) AS sd FROM x GROUP BY ALL"
+
+
+@register("dossier", _dossier_sql())
+def dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state by itself, by month and year, by distance from it, along its tail, and at other resolutions, in one pass."""
+    from tidemark.operators.dossier import dossier as make
+
+    out = make(panel(spark, sf_dir), "ra", "rb", (4, 3), 5, "y", {"month": F.col("month"), "fold": F.year("decision")})
+    return out.select("section", "label", "n", F.round("mean", 5).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
+_AUTOPSY = """WITH x AS (SELECT user_id AS s, strftime(ts, '%Y-%m-%d') AS m, day(ts) <= 15 AS h, value / nullif(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) - 1 AS y FROM events), k AS (SELECT * FROM x WHERE y IS NOT NULL), q AS (SELECT quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.99) AS hi FROM k),
+w AS (SELECT count(*) AS n, sum(y) AS total, avg(greatest(least(y, hi), lo)) AS wins, avg(y) FILTER (WHERE h) AS h1, avg(y) FILTER (WHERE NOT h) AS h2, sum(CASE WHEN y >= hi THEN y ELSE 0 END) AS top FROM k, q),
+gs AS (SELECT s, sum(y) AS t, count(*) AS c FROM k GROUP BY s), gm AS (SELECT m, sum(y) AS t, count(*) AS c FROM k GROUP BY m),
+bs AS (SELECT gs.t, gs.c FROM gs, w ORDER BY round(gs.t * sign(w.total), 9) DESC, CAST(s AS VARCHAR) DESC LIMIT 1), bm AS (SELECT gm.t, gm.c FROM gm, w ORDER BY round(gm.t * sign(w.total), 9) DESC, m DESC LIMIT 1),
+c AS (SELECT w.*, w.total / n AS mean, (w.total - bs.t) / (n - bs.c) AS ws, (w.total - bm.t) / (n - bm.c) AS wm, (SELECT count(*) FILTER (WHERE sign(gm.t) = sign(w2.total)) FROM gm, w w2) AS same, (SELECT count(*) FROM gm) AS groups FROM w, bs, bm),
+r AS (SELECT 'rows' AS "check", CAST(n AS DOUBLE) AS value, n >= 100 AS passed FROM c UNION ALL SELECT 'mean', mean, mean <> 0 FROM c UNION ALL SELECT 'without_best_security', ws, sign(ws) = sign(total) FROM c UNION ALL SELECT 'without_best_month', wm, sign(wm) = sign(total) FROM c UNION ALL SELECT 'winsorised', wins, sign(wins) = sign(total) FROM c
+  UNION ALL SELECT 'halves', least(h1, h2), sign(h1) = sign(total) AND sign(h2) = sign(total) FROM c UNION ALL SELECT 'months', same / groups, same * 2 > groups FROM c UNION ALL SELECT 'after_costs', mean - sign(total) * 0.0005e0, sign(mean - sign(total) * 0.0005e0) = sign(total) FROM c UNION ALL SELECT 'top_share', top / total, abs(top / total) < 0.5 FROM c)
+SELECT "check", round(value, 5) + 0e0 AS value, passed FROM r"""
+
+
+@register("autopsy", _AUTOPSY)
+def autopsy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks that a candidate has to stand, each with its value."""
+    from tidemark.operators.dossier import autopsy as run
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("y", F.try_divide("value", F.lag("value").over(w)) - 1).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return run(e, "y", "user_id", "day", F.day("ts") <= 15, 0.0005).select("check", (F.round("value", 5) + 0.0).alias("value"), "passed")
+
+
+@register("state_lifecycle", f"WITH x AS (SELECT security_id, session_date, CAST(close > vwap AS INTEGER) AS o FROM ({BARS_SQL})), y AS (SELECT o, coalesce(lag(o) OVER w, 0) AS p, lead(o) OVER w AS n FROM x WINDOW w AS (PARTITION BY security_id ORDER BY session_date)) SELECT count(*) FILTER (WHERE o = 1 AND p = 0) AS entries, count(*) FILTER (WHERE o = 1 AND n = 0) AS exits, CAST(sum(o) AS BIGINT) AS rows_in, round(sum(o) / nullif(count(*) FILTER (WHERE o = 1 AND p = 0), 0), 6) AS mean_run FROM y")
+def state_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a state begins, lasts and ends."""
+    from tidemark.operators.dossier import lifecycle
+
+    return lifecycle(bars(spark, sf_dir), ["security_id"], ["session_date"], F.col("close") > F.col("vwap")).select("entries", "exits", "rows_in", r6("mean_run", "mean_run"))
