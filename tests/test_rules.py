@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
@@ -109,3 +110,27 @@ def test_sum_before_with_many_ranges(spark):
     for k in order:
         want[k], total = total, total + k % 7
     assert got == want
+
+
+def test_artefacts_are_validated(spark, tmp_path):
+    import glob
+
+    made = []
+    key = sinks.stage_key("a")
+    for _ in range(2):
+        sinks.artefact(spark, str(tmp_path), key, lambda: made.append(1) or spark.range(50).repartition(3))
+    assert len(made) == 1 and sinks.validate(spark, str(tmp_path), key).count() == 0
+    path = glob.glob(f"{tmp_path}/{key}/part-*.parquet")[0]
+    os.remove(os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"))  # the local file system's own checksum
+    open(path, "ab").write(b"x")
+    assert sinks.validate(spark, str(tmp_path), key).count() == 1
+
+
+def test_ewma_formula(spark):
+    from tidemark.operators.learning import compile_formula
+
+    x = np.random.default_rng(7).normal(size=80)
+    df = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(x)], "s string, d int, x double")
+    f = {"op": "ewma", "args": [{"feature": "x"}, 9]}
+    got = [r.f for r in df.select("d", compile_formula(f, "d", "s", "d").alias("f")).orderBy("d").collect()]
+    np.testing.assert_allclose(got, pd.Series(x).ewm(span=9, adjust=False).mean(), rtol=1e-12)

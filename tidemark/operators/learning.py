@@ -36,8 +36,18 @@ def out_of_fold(df: DataFrame, features: list[str], y: str, fold: str, kind: str
     return reduce(DataFrame.unionByName, out)
 
 
+def ewma(x: Column, span: int, past: Window) -> Column:
+    """Exponential average of the known values so far, a = 2 / (span + 1), over a window beyond which nothing weighs in a double."""
+    import math
+
+    a = 2 / (span + 1)
+    rows = math.ceil(37 / -math.log(1 - a)) if a < 1 else 1
+    items = F.collect_list(x).over(past.rowsBetween(-rows, 0))
+    return F.aggregate(items, F.lit(None).cast("double"), lambda s, v: F.when(s.isNull(), v).otherwise((1 - a) * s + a * v))
+
+
 def compile_formula(node: dict, decision: str, key: str, order: str, depth: int = 0) -> Column:
-    """A formula {"op", "args"} or {"feature"} as a column: sign, abs, rank, zscore (population deviation); min, max, add, subtract, multiply; delay, delta."""
+    """A formula {"op", "args"} or {"feature"} as a column: sign, abs, rank, zscore (population deviation); min, max, add, subtract, multiply; delay, delta, ewma."""
     if depth > 3:
         raise ValueError("formulas are at most three levels deep")
     if "feature" in node:
@@ -48,5 +58,5 @@ def compile_formula(node: dict, decision: str, key: str, order: str, depth: int
 
     unary = {"sign": lambda x: F.signum(x), "abs": lambda x: F.abs(x), "rank": lambda x: average_rank(x, [decision]), "zscore": lambda x: (x - F.avg(x).over(by)) / F.nullif(F.stddev_pop(x).over(by), F.lit(0.0))}
     binary = {"min": F.least, "max": F.greatest, "add": lambda a, b: a + b, "subtract": lambda a, b: a - b, "multiply": lambda a, b: a * b}
-    timed = {"delay": lambda x, k: F.lag(x, k).over(past), "delta": lambda x, k: x - F.lag(x, k).over(past)}
+    timed = {"delay": lambda x, k: F.lag(x, k).over(past), "delta": lambda x, k: x - F.lag(x, k).over(past), "ewma": lambda x, span: ewma(x, span, past)}
     return {**unary, **binary, **timed}[op](*args)

@@ -58,13 +58,26 @@ def stage_key(*parts: object) -> str:
 
 
 def artefact(spark: SparkSession, root: str, key: str, make) -> DataFrame:
-    """The table stored under key, made and committed first if it is not there."""
-    fs, done, Path = _fs(spark, f"{root}/{key}/_SUCCESS")
+    """The table stored under key, made and committed first if it is not there. Committed means that the digests of its files stand beside it: what a lost run has left is made again."""
+    fs, done, Path = _fs(spark, f"{root}/{key}.files/_SUCCESS")
     if not fs.exists(done):
         make().write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{key}")
+        digests(spark, f"{root}/{key}").write.mode("overwrite").parquet(f"{root}/{key}.files")
     return spark.read.parquet(f"{root}/{key}")
 
 
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """name, bytes, sha256 of every data file under path, each read once by the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def validate(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """The files of an artefact that are missing, new or changed since it was committed: none, if it is sound."""
+    was = spark.read.parquet(f"{root}/{key}.files").select("name", F.col("sha256").alias("was"))
+    return was.join(digests(spark, f"{root}/{key}"), "name", "full").where(~F.col("was").eqNullSafe(F.col("sha256"))).select("name", "was", "sha256")
+
+
 def manifest(df: DataFrame) -> DataFrame:
     """The files that a table is read from."""
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("modified")).distinct()
