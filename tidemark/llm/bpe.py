@@ -368,7 +368,7 @@ class _CountWords:
             for part in self.split_special.split(text) if self.split_special and "<|" in text else [text]:
                 if part not in self.special:
                     self.held.update(self.words.chunks(part))
-        if len(self.held) > 300_000:
+        if len(self.held) > 150_000:
             return self.end()
         return None
 

@@ -17,11 +17,16 @@ from pyspark.sql import functions as F
 #: A batch going back to the JVM closes at about this many bytes.
 OUT_BYTES = 8 << 20
 
+#: Bytes of a batch that goes to Python, where the session has Spark's own default: both sides hold a batch or two of each task.
+IN_BYTES, BATCH_SETTING, DEFAULT_BYTES = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64MB", "64m")
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once per application; they may not have it on their path."""
+    """Give this package to the executors, once per application; they may not have it on their path. Bounds the batches that they get."""
+    if spark.conf.get(BATCH_SETTING, "") in DEFAULT_BYTES:
+        spark.conf.set(BATCH_SETTING, str(IN_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -57,7 +57,7 @@ class _CountLabelled:
     def __call__(self, text, label):
         seen = Counter(words_of(text))
         self.held[label].update(seen.keys())
-        return self.end() if sum(map(len, self.held.values())) > 300_000 else None
+        return self.end() if sum(map(len, self.held.values())) > 150_000 else None
 
     def end(self):
         out = [(w, label, n) for label, c in self.held.items() for w, n in c.items()]
@@ -82,7 +82,7 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         memo = self.memo
-        if len(memo) > 300_000:
+        if len(memo) > 150_000:
             memo.clear()
         for w in set(words).difference(memo):
             memo[w] = self.word(w)

@@ -9,7 +9,7 @@ import numpy as np
 #: The six ASCII white-space bytes that separate words.
 WHITE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 BASE = 0x9E3779B97F4A7C15
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 _white = np.zeros(256, bool)
 _white[list(WHITE_BYTES)] = True
