@@ -25,7 +25,7 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors, once per application; they may not have it on their path. Bounds the batches that they get."""
-    if spark.conf.get(BATCH_SETTING, "") in DEFAULT_BYTES:
+    if spark.conf.get(BATCH_SETTING) in DEFAULT_BYTES:
         spark.conf.set(BATCH_SETTING, str(IN_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
