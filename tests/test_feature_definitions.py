@@ -166,3 +166,18 @@ def test_concepts_equal_their_definitions(bars, made, family):
         have = got[concept].to_numpy(float)
         assert np.isfinite(want).sum() > 30, concept
         np.testing.assert_allclose(have, want, rtol=1e-6, atol=2e-8, err_msg=concept)
+
+
+@pytest.mark.parametrize("family", ["multispeed", "path", "volatility", "serial"])
+def test_scales_at_once_equal_one_by_one(spark, family):
+    from tidemark.functions.sqltext import SPARK
+
+    b = tables.bars(spark, SF)
+    scales = [(5, 2, 8), (8, 3, 12)]
+    stages, names = features.at_scales(family, SPARK, scales)
+    key = ["security_id", "session_date"]
+    both = staged.apply(b, stages).selectExpr(*staged.outputs(key, names, SPARK, 9)).toPandas().sort_values(key).reset_index(drop=True)
+    for n, fast, slow in scales:
+        one = staged.run(b, lambda q: features.stages(family, q, n, fast, slow), key, features.concepts(family), 9).toPandas().sort_values(key).reset_index(drop=True)
+        for c in features.concepts(family):
+            np.testing.assert_allclose(both[f"{c}_{n}_{fast}_{slow}"].to_numpy(float), one[c].to_numpy(float), rtol=1e-9, err_msg=c)

@@ -7,6 +7,7 @@ need min(n, max(5, ceil(0.6 n))) observations unless a formula says otherwise.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from tidemark.functions.sqltext import Sql, required
@@ -338,6 +339,20 @@ def concepts(family: str) -> list[str]:
     return [k for s in FAMILIES[family](Sql(), 6, 3, 10) for k in s if k not in hidden]
 
 
+def at_scales(family: str, q: Sql, scales: list[tuple[int, int, int]]) -> tuple[list[dict[str, str]], list[str]]:
+    """A family at several (window, fast, slow) at once: its stages with the scale after each name, so that all scales share sorts, and the concepts' names."""
+    made, names = [], []
+    for n, fast, slow in scales:
+        own = [s for s in FAMILIES[family](q, n, fast, slow) if s]
+        of = {k for s in own for k in s}
+        tail = f"_{n}_{fast}_{slow}"
+        rename = lambda text: re.sub(r"\b(" + "|".join(sorted(of, key=len, reverse=True)) + r")\b(?!\()", lambda m: m[1] + tail, text)  # noqa: B023, E731
+        made.append([{k + tail: rename(x) for k, x in s.items()} for s in own])
+        names += [k + tail for k in concepts(family)]
+    base = [f(q) for f in BASE] + ([{"sgn1": q.lag("sgn")}] if family == "path" else [])
+    return base + [{k: x for s in same for k, x in s.items()} for same in zip(*made, strict=True)], names
+
+
 def catalogue() -> list[tuple[str, str]]:
     return [(f, c) for f in FAMILIES for c in concepts(f)]
 

@@ -36,3 +36,23 @@ def _sql(name: str) -> str:
 
 for _name in features.FAMILIES:
     register(f"features_{_name}", _sql(_name))(partial(family, name=_name))
+
+
+#: Fast and slow sessions of the approved pairs that tables of a month can hold.
+PAIRS = [(6, 1, 5), (6, 2, 10), (6, 5, 20)]
+#: Windows in sessions at which these families run beside the six of the queries above.
+WINDOWS = {"returns": [(2, 3, 10), (5, 3, 10), (10, 3, 10)], "consistency": [(5, 3, 10), (10, 3, 10)], "volatility": [(5, 2, 10), (10, 5, 20)], "volume": [(5, 3, 10), (10, 3, 10)]}
+
+
+def scaled(spark: SparkSession, sf_dir: str, name: str, scales: list[tuple[int, int, int]]) -> DataFrame:
+    made, names = features.at_scales(name, SPARK, scales)
+    return staged.apply(tables.bars(spark, sf_dir), made).selectExpr(*staged.outputs(KEYS, names, SPARK, DIGITS))
+
+
+def _scaled_sql(name: str, scales: list[tuple[int, int, int]]) -> str:
+    made, names = features.at_scales(name, CHECK, scales)
+    return staged.as_sql(tables.BARS_SQL, made, staged.outputs(KEYS, names, CHECK, DIGITS))
+
+
+for _name, _scales in {"multispeed": PAIRS, **WINDOWS}.items():
+    register(f"scales_{_name}", _scaled_sql(_name, _scales))(partial(scaled, name=_name, scales=_scales))
