@@ -334,3 +334,30 @@ def state_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.dossier import lifecycle
 
     return lifecycle(bars(spark, sf_dir), ["security_id"], ["session_date"], F.col("close") > F.col("vwap")).select("entries", "exits", "rows_in", r6("mean_run", "mean_run"))
+
+
+def _stability_sql() -> str:
+    names = ["a", "b", "c", "ra"]
+    long = " UNION ALL ".join(f"SELECT decision, year(decision) % 3 AS fold, y, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM p WHERE {c} IS NOT NULL" for c in names)
+    q = ", ".join(f"quantile_cont(x, {t}) AS lo{k}, quantile_cont(x, {1 - t}) AS hi{k}" for k, t in enumerate(_TAILS))
+    s = ", ".join(f"CASE WHEN names >= 20 AND lo{k} < hi{k} THEN CASE WHEN x <= lo{k} THEN -1 WHEN x >= hi{k} THEN 1 ELSE 0 END ELSE 0 END AS s{k}" for k in range(3))
+    return f"""WITH {PANEL}, l AS ({long}), u AS (SELECT feature, decision, count(*) AS names, {q} FROM l GROUP BY ALL), x AS (SELECT l.feature, l.decision, fold, y, {s} FROM l JOIN u ON u.feature = l.feature AND u.decision = l.decision WHERE y IS NOT NULL),
+d AS (SELECT feature, decision, count(*) AS n, sum(s0 * y) AS t0, sum(s1 * y) AS t1, sum(s2 * y) AS t2, count(*) FILTER (WHERE s1 <> 0) AS active FROM x GROUP BY ALL),
+f AS (SELECT feature, count(e) AS folds, quantile_cont(e, 0.5) AS middle, abs(avg(sign(e))) AS consistency FROM (SELECT feature, fold, sum(s1 * y) / count(*) AS e FROM x GROUP BY ALL) GROUP BY feature),
+a AS (SELECT feature, sum(n) AS n, sum(t0) / sum(n) AS e0, sum(t1) / sum(n) AS e1, sum(t2) / sum(n) AS e2, sum(active) AS active, max(abs(t1)) / nullif(sum(abs(t1)), 0) AS outlier_share, CAST(count(*) AS DOUBLE) AS g, sum(t1 * t1) AS tt, sum(t1 * n) AS tn, CAST(sum(n * n) AS DOUBLE) AS nn FROM d GROUP BY feature),
+z AS (SELECT *, sqrt(greatest(tt - 2 * e1 * tn + e1 * e1 * nn, 0) * g / (g - 1)) / n AS se, CASE WHEN e1 <> 0 AND sign(e0) = sign(e1) THEN abs(e0) / abs(e1) END AS r0, CASE WHEN e1 <> 0 AND sign(e2) = sign(e1) THEN abs(e2) / abs(e1) END AS r2 FROM a JOIN f USING (feature)),
+s AS (SELECT *, coalesce({C.normal_two_sided_sql('(e1 / nullif(se, 0))')}, 1) AS p, least(1, abs(middle) / nullif(abs(e1), 0)) AS magnitude, coalesce((coalesce(r0, r2) + coalesce(r2, r0)) / 2, 0) AS retention, 1 + coalesce(r0 >= 0.5, false)::INT + coalesce(r2 >= 0.5, false)::INT AS plateau FROM z),
+h AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, feature) AS raw, row_number() OVER (ORDER BY p, feature) AS k FROM s),
+v AS (SELECT *, least(1, min(raw) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM h),
+w AS (SELECT *, coalesce(q <= 1 AND folds >= 2 AND consistency >= 0.3 AND magnitude >= 0.05 AND active >= 20 AND outlier_share <= 0.25 AND retention >= 0.05 AND plateau >= 1, false) AS passes, cume_dist() OVER (ORDER BY round(abs(e1), 12)) AS place FROM v)
+SELECT feature, CAST(n AS BIGINT) AS n, round(e1, 5) + 0e0 AS effect, round(q, 5) AS q_value, folds, round(consistency, 6) AS consistency, round(magnitude, 5) AS magnitude, round(retention, 5) AS retention, CAST(plateau AS INTEGER) AS plateau, CAST(active AS BIGINT) AS active, round(outlier_share, 6) AS outlier_share, passes, round(CASE WHEN passes THEN place * -log10(greatest(q, 1e-300)) * consistency * magnitude * greatest(retention, 0.01) * ln(1 + n) END, 4) + 0e0 AS score FROM w"""
+
+
+@register("stability_gates", _stability_sql())
+def stability_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single scans of several features with folds, false-discovery control over all of them, gates and a score."""
+    from tidemark.operators import stability as T
+
+    p = panel(spark, sf_dir).withColumn("fold", F.year("decision") % 3)
+    out = T.gated(T.scans(p, ["a", "b", "c", "ra"], "y", "decision", "fold"), T.Gates(q=1.0, consistency=0.3, retention=0.05, plateau=1))
+    return out.select("feature", "n", (F.round("effect", 5) + 0.0).alias("effect"), F.round("q_value", 5).alias("q_value"), "folds", r6("consistency", "consistency"), F.round("magnitude", 5).alias("magnitude"), F.round("retention", 5).alias("retention"), "plateau", "active", r6("outlier_share", "outlier_share"), "passes", (F.round("score", 4) + 0.0).alias("score"))
