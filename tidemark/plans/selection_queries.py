@@ -361,3 +361,44 @@ def stability_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).withColumn("fold", F.year("decision") % 3)
     out = T.gated(T.scans(p, ["a", "b", "c", "ra"], "y", "decision", "fold"), T.Gates(q=1.0, consistency=0.3, retention=0.05, plateau=1))
     return out.select("feature", "n", (F.round("effect", 5) + 0.0).alias("effect"), F.round("q_value", 5).alias("q_value"), "folds", r6("consistency", "consistency"), F.round("magnitude", 5).alias("magnitude"), F.round("retention", 5).alias("retention"), "plateau", "active", r6("outlier_share", "outlier_share"), "passes", (F.round("score", 4) + 0.0).alias("score"))
+
+
+#: Windows and least observations of the betas: short, middle and long histories of these tables.
+_BETAS = ((6, 5), (12, 6), (20, 10))
+
+
+def _beta_sql() -> str:
+    one = lambda n, least: f"round(CASE WHEN count(CASE WHEN r IS NOT NULL AND m IS NOT NULL THEN 1 END) OVER p{n} >= {least} THEN covar_samp(r, m) OVER p{n} / nullif(var_samp(CASE WHEN r IS NOT NULL THEN m END) OVER p{n}, 0) END, 5) + 0e0 AS beta_{n}"
+    return f"WITH b AS (SELECT security_id, session_date, close / nullif(lag(close) OVER w, 0) - 1 AS r, market_close / nullif(lag(market_close) OVER w, 0) - 1 AS m FROM ({BARS_SQL}) WINDOW w AS (PARTITION BY security_id ORDER BY session_date)) SELECT security_id, session_date, {', '.join(one(*x) for x in _BETAS)} FROM b WINDOW {', '.join(f'p{n} AS (PARTITION BY security_id ORDER BY session_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)' for n, _ in _BETAS)}"
+
+
+@register("beta_windows", _beta_sql())
+def beta_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: prior betas over several windows, which share one sort."""
+    w = Window.partitionBy("security_id").orderBy("session_date")
+    b = bars(spark, sf_dir).withColumn("r", F.try_divide("close", F.lag("close").over(w)) - 1).withColumn("m", F.try_divide("market_close", F.lag("market_close").over(w)) - 1)
+    return b.select("security_id", "session_date", *((F.round(P.beta(b, "security_id", "session_date", "r", "m", n, least), 5) + 0.0).alias(f"beta_{n}") for n, least in _BETAS))
+
+
+@register("session_targets", "WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, value, dense_rank() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) AS s FROM events), o AS (SELECT user_id, s, min(ts) AS first FROM e GROUP BY ALL), n AS (SELECT e.user_id, e.s, arg_min(value, ts) AS entry FROM e JOIN o USING (user_id, s) WHERE ts >= first + INTERVAL 60 MINUTE GROUP BY ALL), c AS (SELECT user_id, s, any_value(day) AS day, arg_max(value, ts) AS last FROM e GROUP BY ALL) SELECT c.user_id, c.day, round(x1.last / nullif(n.entry, 0) - 1, 6) + 0e0 AS target_1, round(x3.last / nullif(n.entry, 0) - 1, 6) + 0e0 AS target_3 FROM c LEFT JOIN n ON n.user_id = c.user_id AND n.s = c.s + 1 LEFT JOIN c x1 ON x1.user_id = c.user_id AND x1.s = c.s + 1 LEFT JOIN c x3 ON x3.user_id = c.user_id AND x3.s = c.s + 3")
+def session_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: entry at the next session's first price after a delay from its open, exit at the close of the h-th session, by session numbers."""
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    open_ = F.min("ts").over(Window.partitionBy("user_id", "day"))
+    e = e.withColumn("late", F.col("ts") >= open_ + F.expr("INTERVAL 60 MINUTES"))
+    c = e.groupBy("user_id", "day").agg(F.max_by("value", "ts").alias("last"), F.min_by("value", F.when(F.col("late"), F.col("ts"))).alias("entry"))
+    w = Window.partitionBy("user_id").orderBy("day")
+    target = lambda h: r6(F.try_divide(F.lead("last", h).over(w), F.lead("entry", 1).over(w)) - 1, f"target_{h}")
+    return c.select("user_id", "day", target(1), target(3))
+
+
+@register("reselected_cell", f"WITH {PANEL}, c AS (SELECT {_bin('ra', 3)} * 3 + {_bin('rb', 3)} AS cell, CAST(year(decision) % 2 AS INTEGER) AS half, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM p WHERE ra IS NOT NULL AND rb IS NOT NULL AND y IS NOT NULL GROUP BY ALL), t AS (SELECT cell, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM c GROUP BY cell), a AS (SELECT cell FROM t ORDER BY round(s / n, 9) DESC, cell LIMIT 1), b AS (SELECT half, cell, n, s, q, sum(n) OVER (PARTITION BY half) AS total FROM c QUALIFY row_number() OVER (PARTITION BY half ORDER BY round(s / n, 9) DESC, cell) = 1) SELECT half, b.cell, n, round(s / n, 5) AS mean, round(sqrt((q - s * s / n) / (n - 1)) / sqrt(n), 5) AS se, round(n / total, 6) AS frequency, CASE WHEN b.cell = a.cell THEN round((s / n) / (sqrt((q - s * s / n) / (n - 1)) / sqrt(n)), 3) END AS t FROM b, a")
+def reselected_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell chosen anew from counts, sums and squares; its inference is missing where the cell is not the one that was tested."""
+    p = panel(spark, sf_dir).select((C.rank_bin(F.col("ra"), 3) * 3 + C.rank_bin(F.col("rb"), 3)).alias("cell"), (F.year("decision") % 2).alias("half"), "y").where("cell IS NOT NULL AND y IS NOT NULL")
+    c = p.groupBy("cell", "half").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+    tested = c.groupBy("cell").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).agg(F.max_by("cell", F.struct(F.round(F.col("s") / F.col("n"), 9), -F.col("cell"))).alias("tested"))
+    w = Window.partitionBy("half")
+    b = c.withColumn("total", F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.round(F.col("s") / F.col("n"), 9).desc(), "cell"))).where("r = 1").crossJoin(F.broadcast(tested))
+    mean, se = F.col("s") / F.col("n"), F.sqrt(F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1)) / F.sqrt(F.col("n").cast("double"))
+    return b.select("half", "cell", "n", F.round(mean, 5).alias("mean"), F.round(se, 5).alias("se"), r6(F.col("n") / F.col("total"), "frequency"), F.when(F.col("cell") == F.col("tested"), F.round(F.try_divide(mean, se), 3)).alias("t"))
