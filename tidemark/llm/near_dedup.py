@@ -274,7 +274,8 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, kept: Callable[.
     # 2: what the buckets still hold of different components
     comp = components(links)
     now = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    # written, so that the join deals the rows anew and a large bucket's can be split over tasks
+    mixed = written(spark, now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed-keys")
     now = now.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     now = written(spark, now.select("key", "band", "id", "comp", "blocks", "block"), "mixed")
     now = now.join(reps, "id").join(texts_of(now, "mixed"), "id")
