@@ -91,8 +91,12 @@ def mix(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, float]]
     whole = r.where("whole > 0").select("key", *levels, "tokens", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"))
     r = r.where("rest > 0").withColumn("h", F.xxhash64(F.lit(seed), "whole", "key")).withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS))
     ranges = r.groupBy(*levels, "range").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.withColumn("before", before).where(F.col("before") < F.col("rest"))
+    # what stands before a range: the coarse ranges before its own, and the ranges before it in its own
+    ranges = ranges.withColumn("coarse", F.shiftright("range", RANGE_BITS // 2))
+    upto = lambda by, of: F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = ranges.groupBy(*levels, "coarse").agg(F.sum("t").alias("t")).select(*(F.col(c).alias(f"p_{c}") for c in levels), F.col("coarse").alias("p_coarse"), upto(levels, "coarse").alias("coarse_before"))
+    ranges = ranges.withColumn("own_before", upto([*levels, "coarse"], "range")).join(coarse, on & (F.col("coarse") == F.col("p_coarse"))).drop(*(f"p_{c}" for c in levels))
+    ranges = ranges.withColumn("before", F.col("coarse_before") + F.col("own_before")).where(F.col("before") < F.col("rest"))
     ranges = ranges.select(*(F.col(c).alias(f"p_{c}") for c in levels), F.col("range").alias("p_range"), "before", (F.col("before") + F.col("t") <= F.col("rest")).alias("inside"))
     r = r.join(ranges, on & (F.col("range") == F.col("p_range"))).drop("p_range", *(f"p_{c}" for c in levels))
     in_ = r.where("inside")
