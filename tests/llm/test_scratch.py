@@ -77,3 +77,15 @@ def test_waves_share_the_kth_score(spark):
         best = sorted((-sum(a * b for a, b in zip(q(v), q(c))), j) for j, c in rows if j != i)[:5]
         want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert got == sorted(want)
+
+
+def test_large_components(spark):
+    """Scores beyond a double's digits are exact, those beyond a long are clipped, components without exact values take no part."""
+    big = float(2**40)
+    rows = [(0, [big, 1.0]), (1, [big, 1 / 64]), (2, [-big, 0.0]), (3, [2.0**47, 0.0]), (4, [1.0, 1.0]), (5, [float(2**20), 3.0]), (6, [float(2**20), 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0, k=10).orderBy("rank").collect()]
+    one = 64 * 2**40
+    assert got == [(1, 2**62 - 1), (5, min(one * 64 * 2**20 + 64 * 192, 2**62 - 1)), (6, min(one * 64 * 2**20 + 64 * 128, 2**62 - 1)), (4, one * 64 + 64 * 64), (2, -(2**62) + 1)]
+    small = spark.createDataFrame([(0, [float(2**20), 1.0]), (1, [float(2**20), 1 / 64]), (2, [float(2**20), 2 / 64])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(small, F.col("vec_id") == 0, k=2).orderBy("rank").collect()] == [(2, 2**52 + 128), (1, 2**52 + 64)]

@@ -10,7 +10,8 @@ skip none.)
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a query meets only vectors
 of its own dimension; rows with the same id are separate candidates of a query, but never candidates of a query with
 that id, and a repeated query row is one query for each distinct vector; ties go to the smaller id; an empty table
-gives no rows; other columns are never read. Scores are exact integers below 2 ** 62.
+gives no rows; other columns are never read. Components of 2 ** 52 or more after quantising are no exact numbers and count
+as non-finite; scores are exact integers, and those of 2 ** 62 or more are clipped to 2 ** 62 - 1.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ LOW = -(1 << 62)
 def quantised(vec: Column, scale: int = 64) -> Column:
     """floor(scale * x) of each component; null where the vector is null or holds a null or non-finite component."""
     x = vec.cast("array<double>")
-    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) * scale >= 2.0**52))
     return F.when(~bad, F.transform(x, lambda c: F.floor(scale * c)))
 
 
@@ -67,8 +68,9 @@ def search(tree: BallTree, m: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids:
     """The k best (score, id) of each query that reach its kth score so far; missing ones have id -1 at the lowest score."""
     low = LOW
     best, who = np.full((len(q), k), low), np.full((len(q), k), -1, np.int64)
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * max(m.shape[1], 1) < 2**52
-    mf, qf = (m.astype(np.float64), q.astype(np.float64)) if exact else (m, q)
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(m).max(initial=0)) * max(m.shape[1], 1)
+    kind = np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
+    mf, qf = m.astype(kind), q.astype(kind)
     norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
     bounds = q.astype(np.float64) @ tree.centre.T + norm[:, None] * tree.radius[None, :]
     bounds += 1e-9 * (1 + np.abs(bounds)) + 1e-6
@@ -83,7 +85,10 @@ def search(tree: BallTree, m: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids:
                 heapq.heappush(queue, (-float(bounds[live, kid].max()), kid))
             continue
         rows = tree.order[tree.lo[node] : tree.hi[node]]
-        got = (qf[live] @ mf[rows].T).astype(np.int64)
+        got = qf[live] @ mf[rows].T
+        if kind is object:
+            got = np.clip(got, low + 1, -low - 1)
+        got = got.astype(np.int64)
         got[q_ids[live][:, None] == ids[rows][None, :]] = low
         scores, names = np.concatenate([best[live], got], axis=1), np.concatenate([who[live], np.broadcast_to(ids[rows], got.shape)], axis=1)
         names = np.where(scores == low, np.iinfo(np.int64).max, names)
