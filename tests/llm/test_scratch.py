@@ -89,3 +89,30 @@ def test_large_components(spark):
     assert got == [(1, 2**62 - 1), (5, min(one * 64 * 2**20 + 64 * 192, 2**62 - 1)), (6, min(one * 64 * 2**20 + 64 * 128, 2**62 - 1)), (4, one * 64 + 64 * 64), (2, -(2**62) + 1)]
     small = spark.createDataFrame([(0, [float(2**20), 1.0]), (1, [float(2**20), 1 / 64]), (2, [float(2**20), 2 / 64])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in topk.top_k(small, F.col("vec_id") == 0, k=2).orderBy("rank").collect()] == [(2, 2**52 + 128), (1, 2**52 + 64)]
+
+
+def test_workers_keep_what_is_used():
+    import weakref
+
+    class Table:
+        def __init__(self):
+            self.memo = {"me": self}  # a cycle, as the codecs have
+
+    class Rows:
+        def __init__(self, uses):
+            self.uses = uses
+
+        def __call__(self):
+            if self.uses:
+                common.once(("table", self.uses), Table)
+            return lambda *row: None
+
+    schema = common.schema_of("x long")
+    held = weakref.ref(common.once(("table", 1), Table))
+    assert held() is not None
+    list(common._RowMapper(Rows(1), schema)(iter([])))
+    assert held() is not None  # the same key: kept from task to task
+    other = weakref.ref(common.once(("table", 2), Table))
+    assert held() is None and other() is not None
+    list(common._RowMapper(Rows(None), schema)(iter([])))
+    assert other() is None  # a task that uses none frees it

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
@@ -122,7 +123,10 @@ class _RowMapper:
         self.start, self.schema = start, schema
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _kept()["used"] = False
         f = self.start()
+        if not _kept()["used"]:
+            forget()
         end = getattr(f, "end", None)
 
         def rows():
@@ -163,10 +167,21 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def _kept() -> dict:
+    return sys.modules.setdefault("_tidemark_kept", type(sys)("_tidemark_kept")).__dict__
+
+
+def forget() -> None:
+    """Frees what the worker keeps: a task that does not use it begins. The tables and their memos refer to each other, so they are collected at once."""
+    if _kept().pop("newest", None) is not None:
+        gc.collect()
+
+
 def once(key: object, make: Callable[[], object]) -> object:
-    """A value kept in this Python worker under key. Only the newest is kept: a worker that serves one query after the other holds the tables of one."""
-    kept = sys.modules.setdefault("_tidemark_kept", type(sys)("_tidemark_kept")).__dict__
+    """A value kept in this Python worker under key. Only the newest is kept, and only while tasks use it: a worker that serves one query after the other holds the tables of one."""
+    kept = _kept()
     if kept.get("newest", (None,))[0] != key:
-        kept.pop("newest", None)  # before the new one is made
+        forget()  # before the new one is made
         kept["newest"] = (key, make())
+    kept["used"] = True
     return kept["newest"][1]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, dropped, map_rows, schema_of, scratch, ship, texts, written
+from .common import batched, dropped, forget, map_rows, schema_of, scratch, ship, texts, written
 from .words import mix, shingles
 
 #: Hashes of a signature, rows of a band, hashes compared at a time.
@@ -101,6 +101,7 @@ class _Pairs:
         self.least = least_matches(threshold)
 
     def __call__(self, batches):
+        forget()
         for b in batches:
             if b.num_rows:
                 a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, HASHES) for k in (2, 3))
@@ -132,6 +133,7 @@ class _Buckets:
             yield key, held
 
     def __call__(self, batches):
+        forget()
         self.sets: dict[int, np.ndarray] = {}
 
         def rows():

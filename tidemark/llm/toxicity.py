@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, scratch, ship, texts, written
+from .common import forget, map_rows, scratch, ship, texts, written
 
 #: Lengths of the word prefixes that are features beside whole words.
 PREFIXES = (4, 5, 6)
@@ -297,6 +297,7 @@ def below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         m = sent.value
         for batch in batches:
             yield pd.Series([m.probability(m.evidence(t)) for t in batch], dtype=float)
