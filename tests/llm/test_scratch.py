@@ -107,7 +107,9 @@ def test_workers_keep_what_is_used():
                 common.once(("table", self.uses), Table)
             return lambda *row: None
 
-    schema = common.schema_of("x long")
+    import pyarrow as pa
+
+    schema = pa.schema([("x", pa.int64())])
     held = weakref.ref(common.once(("table", 1), Table))
     assert held() is not None
     list(common._RowMapper(Rows(1), schema)(iter([])))
