@@ -9,7 +9,7 @@ from tidemark.catalog import register
 from tidemark.operators import columns as C
 from tidemark.operators import joins as J
 from tidemark.plans.surface_queries import r6
-from tidemark.sources.tables import table
+from tidemark.sources.tables import placed, table
 
 
 @register("latest_version", "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -182,9 +182,10 @@ def evidence_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("filtered_aggregates", "SELECT l_returnflag, l_linestatus, count(*) FILTER (WHERE l_quantity > 25) AS big, bool_or(l_discount > 0.09) AS any_deep, CAST(count_if(l_tax = 0) AS BIGINT) AS untaxed, count(DISTINCT (l_suppkey, l_linenumber)) AS pairs, arg_max(l_orderkey, l_extendedprice) AS dearest, round(avg(l_quantity), 6) AS avg_quantity, round(stddev_samp(l_quantity), 6) AS sd, round(corr(l_quantity, l_extendedprice), 6) AS corr, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(exp(sum(ln(1 + l_tax / 1000))), 4) AS growth FROM lineitem GROUP BY ALL")
 def filtered_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional, distinct, ordered, statistical and product aggregates."""
+    """Conditional, distinct, ordered, statistical and product aggregates. Of equal prices the table's first row is the dearest, as in the SQL read by one thread."""
     q, x = F.col("l_quantity"), F.col("l_extendedprice")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.when(q > 25, 1)).alias("big"), F.bool_or(F.col("l_discount") > 0.09).alias("any_deep"), F.count_if(F.col("l_tax") == 0).alias("untaxed"), F.count_distinct(F.struct("l_suppkey", "l_linenumber")).alias("pairs"), F.max_by("l_orderkey", x).alias("dearest"), r6(F.avg(q), "avg_quantity"), r6(F.stddev_samp(q), "sd"), r6(F.corr(q, x), "corr"), F.round(F.percentile(x, F.lit(0.9)), 4).alias("p90"), F.round(F.exp(F.sum(F.log(1 + F.col("l_tax") / 1000))), 4).alias("growth"))
+    dearest = F.when(x.isNotNull() & F.col("l_orderkey").isNotNull(), F.struct(~F.isnan(x), -x, "place"))  # least: NaN, then falling prices, then the first row
+    return placed(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.when(q > 25, 1)).alias("big"), F.bool_or(F.col("l_discount") > 0.09).alias("any_deep"), F.count_if(F.col("l_tax") == 0).alias("untaxed"), F.count_distinct(F.struct("l_suppkey", "l_linenumber")).alias("pairs"), F.min_by("l_orderkey", dearest).alias("dearest"), r6(F.avg(q), "avg_quantity"), r6(F.stddev_samp(q), "sd"), r6(F.corr(q, x), "corr"), F.round(F.percentile(x, F.lit(0.9)), 4).alias("p90"), F.round(F.exp(F.sum(F.log(1 + F.col("l_tax") / 1000))), 4).alias("growth"))
 
 
 @register("distinct_list_having", "SELECT p_brand, list_sort(list(DISTINCT p_size)) AS sizes, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 1")

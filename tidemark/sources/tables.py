@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with the place of each row in it (file, row of the file): the order in which one thread of the checking engine reads, whatever tasks read here."""
+    return table(spark, sf_dir, name).selectExpr("*", "struct(_metadata.file_path AS file, _metadata.row_index AS row) AS place")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar of each security and session, with the market's bar beside it."""
     e = table(spark, sf_dir, "events").selectExpr("user_id AS security_id", "CAST(ts AS DATE) AS session_date", "ts", "value")
