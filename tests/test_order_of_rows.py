@@ -43,3 +43,11 @@ def test_dearest_of_equal_prices(many_tasks, tmp_path, key):
     for a, b in zip(got, want):
         for x, y in zip(a, b):
             assert x == y or isinstance(x, float) and x == pytest.approx(y, rel=1e-6, abs=2e-5)
+
+
+@pytest.mark.parametrize("value, user, by", [("value", "user_id", "k, ts"), ("value", "user_id", "hash(event_id, k)"), ("0.1e0 * (1 + event_id % 5)", "user_id % 9", "event_id, k"), ("CASE WHEN event_id % 7 > 0 THEN 29.27e0 END", "user_id + k // 8 * 150", "hash(k, event_id)")])
+def test_close_at_the_mean(many_tasks, tmp_path, value, user, by):
+    """Closes that are the mean but for rounding, so that the order of the additions decides the state; with unknown values too."""
+    rows = f"SELECT e.* REPLACE (event_id + k * 1000 AS event_id, {user} AS user_id, {value} AS value) FROM '{SF}/events.parquet' e, range(24) t(k) ORDER BY {by}"
+    got, want = both(many_tasks, tmp_path, "events", rows, "state_lifecycle")
+    assert got == want

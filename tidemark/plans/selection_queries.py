@@ -13,7 +13,7 @@ from tidemark.operators import panel as P
 from tidemark.operators import selection as S
 from tidemark.plans.panel_queries import _session_sql, r6s
 from tidemark.plans.surface_queries import PANEL, _bin, panel, r6
-from tidemark.sources.tables import BARS_SQL, bars, table
+from tidemark.sources.tables import BARS_SQL, bars, closes_and_means, table
 
 _TAILS = (0.05, 0.1, 0.2)
 
@@ -333,7 +333,7 @@ def state_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a state begins, lasts and ends."""
     from tidemark.operators.dossier import lifecycle
 
-    return lifecycle(bars(spark, sf_dir), ["security_id"], ["session_date"], F.col("close") > F.col("vwap")).select("entries", "exits", "rows_in", r6("mean_run", "mean_run"))
+    return lifecycle(closes_and_means(spark, sf_dir), ["security_id"], ["session_date"], F.col("close") > F.col("vwap")).select("entries", "exits", "rows_in", r6("mean_run", "mean_run"))
 
 
 def _stability_sql() -> str:
